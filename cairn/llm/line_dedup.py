@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.llm.common import materialize
 
@@ -135,7 +136,7 @@ def dedup_lines(docs: DataFrame, *, min_docs: int = 10, min_tokens: int = 3) ->
     not shuffled; beyond that, each document's keys are joined with them.
     """
     found = materialize(recurring_templates(docs, min_docs=min_docs, min_tokens=min_tokens), "templates")
-    schema = docs.schema.add("_lines", "struct<n_lines:long,n_dropped:long>")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_lines", T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))])
     if found.count() <= BROADCAST_TEMPLATES:
         rows = found.select("key", "first_doc").toPandas()
         order = np.argsort(rows["key"].to_numpy(), kind="stable")
