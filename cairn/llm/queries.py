@@ -28,7 +28,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+    return substring_dedup.digest(substring_dedup.repeated_spans(table(spark, sf_dir, "documents")))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
