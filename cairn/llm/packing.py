@@ -28,15 +28,16 @@ from cairn.llm.common import materialize, text_of
 MARKS = ".,;:!?|*&%#$"
 #: White space to Python's split() but not to the tokenizer's patterns.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-CACHE_WORDS = 400_000
+#: Most words, and most cores of a generation, that a worker keeps.
+CACHE_WORDS, CACHE_CORES = 300_000, 500_000
 
 
 class WordEncoder:
     """Ids of texts, word by word, for a tokenizer that never joins across white space.
 
-    Each distinct word is encoded once while the cache holds it; letters and the
-    marks behind them are looked up apart.  The result equals that of encoding
-    the whole text.
+    A word is its core, a run of letters, and the marks behind it; each distinct
+    core is encoded once while one of two generations of the cache holds it.  The
+    result equals that of encoding the whole text.
     """
 
     def __init__(self, path: str):
@@ -44,52 +45,78 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache: dict[str, bytes] = {}
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
+        self.words: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, missing: list[str]) -> None:
-        if not missing:
-            return
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache.clear()
-        enc = self.tok.encode(missing, is_pretokenized=True, add_special_tokens=False)
-        at = np.array([-1 if x is None else x for x in enc.word_ids], dtype=np.int64)
-        cut = np.searchsorted(at, np.arange(len(missing) + 1)) * 4
-        data = np.array(enc.ids, dtype="<u4").tobytes()
-        for i, w in enumerate(missing):
-            self.cache[w] = data[cut[i] : cut[i + 1]]
+        """Encode cores: runs of letters as one text, one word end each, the others apart."""
+        plain = [w for w in missing if w.isalpha()]
+        for a in range(0, len(plain), 5000):
+            part = plain[a : a + 5000]
+            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            cut = np.nonzero(self.ends[ids])[0] + 1
+            if len(cut) != len(part):  # a letter to Python that is none to the tokenizer
+                for w in part:
+                    self.cores[w] = self._whole(w)
+                continue
+            data, start = ids.tobytes(), 0
+            for w, stop in zip(part, (cut * 4).tolist(), strict=True):
+                self.cores[w] = data[start:stop]
+                start = stop
+        for w in missing:
+            if not w.isalpha():
+                self.cores[w] = self._whole(w)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [None if ODD_SPACE.search(t) else t.split() for t in texts]
-        known, parts, cores = self.cache, {}, set()
-        for w in {w for ws in split if ws is not None for w in ws}:
-            if w in known:
-                continue
-            core = w.rstrip(MARKS)
-            if core.isalpha() and "Σ" not in core:
-                parts[w] = (core.lower(), w[len(core) :])
-                cores.add(parts[w][0])
-                if parts[w][1]:
-                    cores.add(parts[w][1])
+        distinct = set()
+        for ws in split:
+            distinct.update(ws or ())
+        missing = distinct.difference(self.words)
+        if len(self.words) + len(missing) > CACHE_WORDS:
+            self.words, missing = {}, distinct
+        parts, cores = {}, set()
+        for w in missing:
+            bare = w.rstrip(MARKS)
+            if bare.isalpha() and "Σ" not in bare:
+                core = bare.lower()
+                marks = w[len(bare) :]
+                cores.add(core)
+                if marks:
+                    cores.add(marks)
+                parts[w] = core, marks
             else:
                 cores.add(w)
-        self._learn([w for w in cores if w not in known])
-        known = self.cache
+                parts[w] = w, ""
+        fresh, older = self.cores, self.older
+        self._learn([w for w in cores if w not in fresh and w not in older])
+        fresh, older = self.cores, self.older
+        get = lambda w: fresh[w] if w in fresh else older[w]
+        known = self.words
         for w, (core, marks) in parts.items():
-            if core not in known or (marks and marks not in known):  # the cache was cleared meanwhile
-                self._learn([x for x in dict.fromkeys((core, marks)) if x and x not in known])
-            known[w] = known[core] + (known[marks] if marks else b"")
-        out = []
-        for t, ws in zip(texts, split, strict=True):
-            if ws is None:
-                out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes())
-                continue
-            try:
-                out.append(b"".join(map(known.__getitem__, ws)))
-            except KeyError:  # cleared while learning
-                self._learn([w for w in set(ws) if w not in known])
-                out.append(b"".join(map(known.__getitem__, ws)))
-        return out
+            known[w] = get(core) + get(marks) if marks else get(core)
+        if len(fresh) > CACHE_CORES:
+            self.older, self.cores = fresh, {}
+        return [self._whole(t) if ws is None else b"".join(map(known.__getitem__, ws)) for t, ws in zip(texts, split, strict=True)]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def _chunks(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
@@ -112,7 +139,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1) -> DataFr
     def run(batches):
         from pyspark import TaskContext
 
-        part, local, enc = TaskContext.get().partitionId(), 0, WordEncoder(tokenizer_path)
+        part, local, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
         for batch in batches:
             for a, b in _chunks(batch.column(1)):
                 ids = [x + end for x in enc.encode(batch.column(1).slice(a, b - a).to_pylist())]
