@@ -2,10 +2,466 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cairn.functions import html, paths, values
+from cairn.operators import layers, overlays, ranges, unions, versions
+from cairn.plans import fixtures as fx
 
-def oracles() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracles() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+# versions -------------------------------------------------------------------
+
+
+@_query(f"WITH {fx.ORDERS_SQL} SELECT path, name, max(version_key) AS version_key, arg_max(size, version_key) AS size, count(*) AS versions FROM files GROUP BY path, name")
+def latest_version(spark, sf_dir):
+    files = fx.orders(spark, sf_dir).select("path", "name", "version_key", "size")
+    return files.groupBy("path", "name").agg(F.max("version_key").alias("version_key"), F.max_by("size", "version_key").alias("size"), F.count(F.lit(1)).alias("versions"))
+
+
+@_query(f"WITH {fx.ORDERS_SQL} SELECT path, name, count(*) AS versions FROM files GROUP BY path, name")
+def version_count(spark, sf_dir):
+    return versions.version_count(fx.orders(spark, sf_dir))
+
+
+@_query(f"WITH {fx.ORDERS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY path, name ORDER BY version_key) AS k FROM files) SELECT path, name, version_key, size FROM n WHERE k = 2")
+def nth_version_oldest_first(spark, sf_dir):
+    return versions.nth_version(fx.orders(spark, sf_dir).select("path", "name", "version_key", "size"), 2)
+
+
+@_query(f"WITH {fx.ORDERS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY path, name ORDER BY version_key DESC) AS k FROM files) SELECT path, name, version_key, size FROM n WHERE k = 2")
+def nth_version_back(spark, sf_dir):
+    return versions.nth_version(fx.orders(spark, sf_dir).select("path", "name", "version_key", "size"), -1)
+
+
+@_query(f"WITH {fx.ORDERS_SQL}, n AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY path, name) AS c FROM files WINDOW w AS (PARTITION BY path, name ORDER BY version_key DESC)) SELECT path, name, version_key, size FROM n WHERE k = least(3, c)")
+def nth_version_clamped(spark, sf_dir):
+    return versions.nth_version(fx.orders(spark, sf_dir).select("path", "name", "version_key", "size"), -2, clamp=True)
+
+
+@_query(f"WITH {fx.ORDERS_SQL} SELECT path || '/' || name || '.versions' AS path, (row_number() OVER (PARTITION BY path, name ORDER BY version_key))::VARCHAR AS name, version_key, size FROM files")
+def versions_listing(spark, sf_dir):
+    return versions.version_paths(fx.orders(spark, sf_dir).select("path", "name", "version_key", "size"))
+
+
+def _requests(spark, sf_dir):
+    return fx.table(spark, sf_dir, "customer").select(F.concat(F.lit("/c/"), F.col("c_custkey").cast("string")).alias("path"), F.lit("1-URGENT").alias("name"), (F.col("c_custkey") % 5 - 2).cast("long").alias("version"))
+
+
+@_query(f"""WITH {fx.ORDERS_SQL}, asked AS (SELECT '/c/' || c_custkey AS path, '1-URGENT' AS name, c_custkey % 5 - 2 AS version FROM customer),
+n AS (SELECT *, row_number() OVER (PARTITION BY path, name ORDER BY version_key) AS up, row_number() OVER (PARTITION BY path, name ORDER BY version_key DESC) - 1 AS back FROM files)
+SELECT a.path, a.name, a.version, n.version_key, n.size FROM asked a JOIN n ON a.path = n.path AND a.name = n.name AND ((a.version > 0 AND n.up = a.version) OR (a.version <= 0 AND n.back = -a.version))""")
+def batch_lookup(spark, sf_dir):
+    return versions.lookup(fx.orders(spark, sf_dir).select("path", "name", "version_key", "size"), _requests(spark, sf_dir))
+
+
+@_query(f"WITH {fx.ORDERS_SQL} SELECT a.path, a.name FROM (SELECT '/c/' || c_custkey AS path, '1-URGENT' AS name FROM customer) a WHERE EXISTS (SELECT 1 FROM files f WHERE f.path = a.path AND f.name = a.name)")
+def member_exists(spark, sf_dir):
+    return versions.exists(fx.orders(spark, sf_dir), _requests(spark, sf_dir).select("path", "name"))
+
+
+@_query(f"WITH {fx.ORDERS_SQL}, l AS (SELECT path, name, arg_max(mode, version_key) AS mode FROM files GROUP BY path, name) SELECT a.path, a.name FROM (SELECT '/c/' || c_custkey AS path, '1-URGENT' AS name FROM customer) a WHERE EXISTS (SELECT 1 FROM l WHERE l.path = a.path AND l.name = a.name AND (l.mode & 61440) = 16384)")
+def member_is_directory(spark, sf_dir):
+    return versions.directories(fx.orders(spark, sf_dir), _requests(spark, sf_dir).select("path", "name"))
+
+
+@_query(f"WITH {fx.ORDERS_SQL} SELECT name, arg_max(mode, version_key) AS mode, arg_max(size, version_key) AS size FROM files WHERE path = '/c/7' GROUP BY name")
+def list_dirents(spark, sf_dir):
+    return versions.list_dirents(fx.orders(spark, sf_dir), "/c/7")
+
+
+@_query(f"WITH {fx.ORDERS_SQL} SELECT path, name, version_key, size FROM files WHERE size > 0 AND (mode & 61440) = 32768 AND version_key IS NOT NULL AND NOT is_generated")
+def regular_payloads(spark, sf_dir):
+    return versions.regular_payloads(fx.orders(spark, sf_dir)).select("path", "name", "version_key", "size")
+
+
+@_query(f"WITH {fx.EVENTS_SQL} SELECT path, name, version_key, size FROM files f WHERE NOT is_tombstone AND version_key = (SELECT max(version_key) FROM files g WHERE g.path = f.path AND g.name = f.name)")
+def tombstone_hidden(spark, sf_dir):
+    return versions.visible(fx.events(spark, sf_dir)).select("path", "name", "version_key", "size")
+
+
+@_query(f"WITH {fx.EVENTS_SQL}, l AS (SELECT path, name, arg_max(is_tombstone, version_key) AS gone FROM files GROUP BY path, name) SELECT f.path, f.name, count(*) AS versions FROM files f JOIN l USING (path, name) WHERE NOT l.gone AND NOT f.is_tombstone GROUP BY f.path, f.name")
+def tombstone_versions(spark, sf_dir):
+    return versions.version_count(versions.visible_versions(fx.events(spark, sf_dir)))
+
+
+@_query(f"WITH {fx.ORDERS_SQL}, l AS (SELECT path, name, max(version_key) AS version_key FROM files GROUP BY path, name) SELECT path, name, version_key, (row_number() OVER (PARTITION BY path ORDER BY name) - 1) // 3 AS page FROM l")
+def directory_pages(spark, sf_dir):
+    return versions.pages(fx.orders(spark, sf_dir).select("path", "name", "version_key"), 3)
+
+
+@_query(f"WITH {fx.ORDERS_SQL} SELECT name, max(version_key) AS version_key FROM files WHERE path = '/c/7' AND name > '2-HIGH' GROUP BY name ORDER BY name LIMIT 2")
+def dir_page(spark, sf_dir):
+    return versions.page(fx.orders(spark, sf_dir).select("path", "name", "version_key"), "/c/7", after="2-HIGH", limit=2).select("name", "version_key")
+
+
+@_query("SELECT l_orderkey AS version_key, l_linenumber::BIGINT AS line, arg_max(l_quantity, (l_partkey, l_suppkey, l_extendedprice, l_quantity)) AS quantity FROM lineitem GROUP BY l_orderkey, l_linenumber")
+def insert_or_replace(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("version_key"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_quantity").alias("quantity"), F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").alias("at"))
+    return versions.replace_on_key(rows, "at", keys=("version_key", "line")).drop("at")
+
+
+# unions ---------------------------------------------------------------------
+
+_NEWEST = "newest AS (SELECT path, name, source_idx, max(version_key) AS version_key, arg_max(mode, version_key) AS mode FROM sources GROUP BY ALL)"
+
+
+def _newest(spark, sf_dir):
+    return versions.latest(fx.sources(spark, sf_dir), keys=("path", "name", "source_idx"))
+
+
+@_query(f"WITH {fx.SOURCES_SQL}, {_NEWEST}, r AS (SELECT *, row_number() OVER (PARTITION BY path, name ORDER BY (mode & 61440) = 16384 DESC, source_idx DESC) AS k FROM newest) SELECT path, name, version_key, mode, source_idx::BIGINT AS source_idx FROM r WHERE k = 1")
+def union_lookup(spark, sf_dir):
+    return unions.union_lookup(_newest(spark, sf_dir)).select("path", "name", "version_key", "mode", F.col("source_idx").cast("long").alias("source_idx"))
+
+
+@_query(f"""WITH {fx.SOURCES_SQL}, {_NEWEST}, k AS (
+  SELECT path, name, max(source_idx) AS last, max(source_idx) FILTER ((mode & 61440) <> 40960) AS solid FROM newest GROUP BY ALL),
+p AS (SELECT k.path, k.name, CASE WHEN (s.mode & 61440) = 16384 THEN k.solid ELSE k.last END AS source_idx FROM k LEFT JOIN newest s ON s.path = k.path AND s.name = k.name AND s.source_idx = k.solid)
+SELECT n.path, n.name, n.version_key, n.mode, n.source_idx::BIGINT AS source_idx FROM p JOIN newest n USING (path, name, source_idx)""")
+def union_list_merge(spark, sf_dir):
+    return unions.union_list(_newest(spark, sf_dir)).select("path", "name", "version_key", "mode", F.col("source_idx").cast("long").alias("source_idx"))
+
+
+@_query(f"WITH {fx.SOURCES_SQL} SELECT path, name, version_key, source_idx::BIGINT AS source_idx, row_number() OVER (PARTITION BY path, name ORDER BY source_idx, version_key) AS version, row_number() OVER (PARTITION BY path, name ORDER BY source_idx DESC, version_key DESC) - 1 AS back FROM sources")
+def union_version_order(spark, sf_dir):
+    return unions.union_versions(fx.sources(spark, sf_dir)).select("path", "name", "version_key", F.col("source_idx").cast("long").alias("source_idx"), "version", "back")
+
+
+@_query(f"WITH {fx.SOURCES_SQL} SELECT path, name, count(*) AS versions FROM sources GROUP BY path, name")
+def union_version_count(spark, sf_dir):
+    return versions.version_count(fx.sources(spark, sf_dir))
+
+
+_LINKS = "links AS (SELECT '/p/' || p_partkey AS link, CASE WHEN p_partkey % 9 = 0 THEN '/s/' || p_partkey WHEN p_partkey % 10 = 1 THEN '/p/' || (p_partkey + 1) WHEN p_partkey % 10 = 2 THEN '/p/' || (p_partkey - 1) ELSE '/p/' || (p_partkey + 1) END AS target FROM part WHERE p_partkey % 13 <> 5)"
+
+
+@_query(f"""WITH RECURSIVE {_LINKS}, walk AS (
+  SELECT link, target AS at, [link] AS seen, 1 AS hops FROM links
+  UNION ALL
+  SELECT w.link, l.target, list_append(w.seen, w.at), w.hops + 1 FROM walk w JOIN links l ON w.at = l.link WHERE w.hops < 8 AND NOT list_contains(w.seen, w.at)),
+ends AS (SELECT w.link, w.at AS target FROM walk w WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.link = w.at))
+SELECT l.link, e.target FROM links l LEFT JOIN ends e USING (link)""")
+def symlink_resolve_8(spark, sf_dir):
+    k = F.col("p_partkey")
+    to = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    links = fx.table(spark, sf_dir, "part").where(k % 13 != 5).select(to("/p/", k).alias("link"), F.when(k % 9 == 0, to("/s/", k)).when(k % 10 == 1, to("/p/", k + 1)).when(k % 10 == 2, to("/p/", k - 1)).otherwise(to("/p/", k + 1)).alias("target"))
+    return unions.resolve_links(links)
+
+
+# overlays -------------------------------------------------------------------
+
+_OVERLAY = f"""base AS (SELECT path, name, max(version_key) AS version_key, arg_max(size, version_key) AS size, {fx.REG}::BIGINT AS mode FROM files GROUP BY path, name),
+overlay AS (SELECT '/c/' || user_id AS path, CASE WHEN event_id % 2 = 0 THEN '1-URGENT' ELSE '2-HIGH' END AS name, max(event_id) AS version_key, arg_max(floor(value)::BIGINT, event_id) AS size, {fx.REG}::BIGINT AS mode, arg_max(event_type = 'error' OR event_type = 'view', event_id) AS deleted FROM events GROUP BY ALL)"""
+
+
+def _base_overlay(spark, sf_dir):
+    base = versions.latest(fx.orders(spark, sf_dir).select("path", "name", "version_key", "size")).withColumn("mode", F.lit(fx.REG).cast("long"))
+    log = fx.table(spark, sf_dir, "events").select(F.concat(F.lit("/c/"), F.col("user_id").cast("string")).alias("path"), F.when(F.col("event_id") % 2 == 0, "1-URGENT").otherwise("2-HIGH").alias("name"), F.col("event_id").alias("version_key"), F.floor("value").cast("long").alias("size"), F.lit(fx.REG).cast("long").alias("mode"), F.col("event_type").isin("error", "view").alias("deleted"))
+    return base, overlays.latest_changes(log, "version_key")
+
+
+@_query(f"WITH {fx.ORDERS_SQL}, {_OVERLAY} SELECT path, name, version_key, size, mode FROM base b WHERE NOT EXISTS (SELECT 1 FROM overlay o WHERE o.path = b.path AND o.name = b.name) UNION ALL SELECT path, name, version_key, size, mode FROM overlay WHERE NOT deleted")
+def overlay_view(spark, sf_dir):
+    return overlays.apply_overlay(*_base_overlay(spark, sf_dir))
+
+
+@_query(f"""WITH {fx.ORDERS_SQL}, {_OVERLAY} SELECT 'append' AS action, path, name FROM overlay WHERE NOT deleted
+UNION ALL SELECT DISTINCT 'delete', path, name FROM (SELECT path, name FROM overlay WHERE deleted UNION SELECT o.path, o.name FROM overlay o JOIN base b USING (path, name) WHERE NOT o.deleted)""")
+def overlay_commit_plan(spark, sf_dir):
+    return overlays.commit_plan(*_base_overlay(spark, sf_dir))
+
+
+@_query(f"""WITH {fx.ORDERS_SQL}, {_OVERLAY}, gone AS (SELECT path, name FROM overlay WHERE deleted UNION SELECT o.path, o.name FROM overlay o JOIN base b USING (path, name) WHERE NOT o.deleted)
+SELECT path, name, unnest([path[2:] || '/' || name, path || '/' || name, './' || path[2:] || '/' || name]) AS member FROM gone""")
+def overlay_delete_patterns(spark, sf_dir):
+    return overlays.delete_patterns(overlays.commit_plan(*_base_overlay(spark, sf_dir)))
+
+
+@_query(f"WITH {fx.ORDERS_SQL}, {_OVERLAY} SELECT t.path, t.name FROM (SELECT DISTINCT '/c/' || c_custkey AS path, '1-URGENT' AS name FROM customer) t JOIN base b USING (path, name)")
+def overlay_mark_deleted(spark, sf_dir):
+    base, overlay = _base_overlay(spark, sf_dir)
+    return overlays.mark_deleted(overlay, base, _requests(spark, sf_dir).select("path", "name")).where("deleted and version_key is null").select("path", "name")
+
+
+@_query("""WITH e AS (SELECT DISTINCT '/u/' || user_id AS path, strftime(ts, '%Y-%m-%d') AS snapshot, event_type AS name FROM events),
+s AS (SELECT path, snapshot, lead(snapshot) OVER (PARTITION BY path ORDER BY snapshot) AS after FROM (SELECT DISTINCT path, snapshot FROM e))
+SELECT e.path, s.after AS snapshot, e.name FROM e JOIN s USING (path, snapshot) WHERE s.after IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e n WHERE n.path = e.path AND n.snapshot = s.after AND n.name = e.name)""")
+def dumpdir_diff(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events").select(F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("path"), F.date_format("ts", "yyyy-MM-dd").alias("snapshot"), F.col("event_type").alias("name"))
+    return overlays.snapshot_whiteouts(e)
+
+
+# layers ---------------------------------------------------------------------
+
+
+@_query("""WITH k AS (SELECT row_number() OVER (ORDER BY event_type) AS id, event_type AS name FROM (SELECT DISTINCT event_type FROM events)) SELECT e.event_id AS version_key, k.name AS key, e.props AS value FROM events e JOIN k ON k.name = e.event_type""")
+def xattr_join(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events")
+    keys = e.select(F.col("event_type").alias("name")).distinct().select(F.xxhash64("name").alias("id"), "name")
+    return layers.attributes(keys, e.select(F.col("event_id").alias("version_key"), F.xxhash64("event_type").alias("keyid"), F.col("props").alias("value")))
+
+
+@_query("SELECT user_id AS version_key, event_type AS key, max(props) AS value FROM events GROUP BY user_id, event_type")
+def xattr_write(spark, sf_dir):
+    new = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("version_key"), F.col("event_type").alias("key"), F.col("props").alias("value"))
+    return layers.write_attributes(new.where("false"), new)
+
+
+@_query("SELECT event_id AS version_key, (props::JSON ->> '$.k')::BIGINT AS k FROM events")
+def xattr_json(spark, sf_dir):
+    return fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("version_key"), F.from_json("props", "k long")["k"].alias("k"))
+
+
+@_query("SELECT '/' || lang || '/by-' || source AS path, doc_id::VARCHAR AS name, doc_id AS version_key FROM documents")
+def prefix_transform(spark, sf_dir):
+    return layers.transform_paths(fx.documents(spark, sf_dir).select("path", "name", "version_key"), r"^/([^/]*)/([^/]*)/", "/./${1}//by-$2/")
+
+
+@_query("SELECT '/mnt/a/' || lang || '/' || source AS path, doc_id::VARCHAR AS name FROM documents")
+def prefix_mount(spark, sf_dir):
+    return layers.mount_under(fx.documents(spark, sf_dir).select("path", "name"), "mnt/a/")
+
+
+@_query("""WITH d AS (SELECT DISTINCT '' AS path, lang AS name FROM documents UNION SELECT DISTINCT '/' || lang, source FROM documents) SELECT path, name FROM d""")
+def parent_synthesis(spark, sf_dir):
+    return layers.missing_parents(fx.documents(spark, sf_dir)).select("path", "name")
+
+
+@_query("""SELECT '/' || r_name AS path, 0::BIGINT AS depth FROM region UNION ALL SELECT '/' || r_name || '/' || n_name, 1 FROM region JOIN nation ON n_regionkey = r_regionkey
+UNION ALL SELECT '/' || r_name || '/' || n_name || '/' || c_name, 2 FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey
+UNION ALL SELECT '/' || r_name || '/' || n_name || '/' || c_name || '/' || o_orderkey, 3 FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey""")
+def nested_flatten(spark, sf_dir):
+    t = lambda n: fx.table(spark, sf_dir, n)
+    nation = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    customer = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    order = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    pair = lambda d, p, n: d.select(F.col(p).cast("string").alias("parent"), F.col(n).cast("string").alias("node"))
+    children = pair(nation, "r_name", "n_name").unionByName(pair(customer, "n_name", "c_name")).unionByName(pair(order, "c_name", "o_orderkey"))
+    return layers.flatten_tree(children, t("region").select(F.col("r_name").alias("node")), 3).select("path", F.col("depth").cast("long").alias("depth"))
+
+
+@_query("""WITH p AS (SELECT DISTINCT '/' || regexp_extract(url, '://([^/?#]*)', 1) || regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS raw FROM pages), q AS (SELECT DISTINCT regexp_replace(raw, '/+$', '') AS path FROM p),
+m AS (SELECT DISTINCT '/' || regexp_extract(url, '://([^/?#]*)', 1) AS mount FROM pages WHERE page_id % 3 = 0 UNION SELECT DISTINCT '/' || regexp_extract(url, '://([^/?#]*)', 1) || '/' || regexp_extract(url, '://[^/?#]*/([^/?#]*)', 1) FROM pages WHERE page_id % 4 = 0)
+SELECT q.path, arg_max(m.mount, length(m.mount)) AS mount FROM q LEFT JOIN m ON q.path = m.mount OR starts_with(q.path, m.mount || '/') GROUP BY q.path""")
+def mount_prefix_lookup(spark, sf_dir):
+    pages = fx.table(spark, sf_dir, "pages").select("page_id", "url")
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    asked = pages.select(F.regexp_replace(F.concat(F.lit("/"), host, F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)), "/+$", "").alias("path"))
+    mounts = pages.where("page_id % 3 = 0").select(F.concat(F.lit("/"), host).alias("mount")).union(pages.where("page_id % 4 = 0").select(F.concat(F.lit("/"), host, F.lit("/"), F.regexp_extract("url", "://[^/?#]*/([^/?#]*)", 1))))
+    return layers.owning_mount(asked, mounts)
+
+
+@_query("""WITH u AS (SELECT page_id, regexp_replace(url, '(?s)#.*$', '') AS u FROM pages), s AS (SELECT page_id, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1) AS h, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) AS p, regexp_extract(u, '(?s)^[^?]*(\\?.*)$', 1) AS q FROM u),
+f AS (SELECT page_id, h, CASE WHEN p = '' THEN '/' ELSE p END AS p, q FROM s)
+SELECT page_id, '/' || h || p || CASE WHEN ends_with(p, '/') THEN 'index.html' ELSE '' END || q AS path FROM f""")
+def uri_to_path(spark, sf_dir):
+    return fx.table(spark, sf_dir, "pages").select("page_id", paths.uri_to_path("url").alias("path"))
+
+
+@_query("SELECT doc_id, CASE WHEN k > 0 THEN lang || source || '-' || k ELSE lang || source END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY lang || source ORDER BY doc_id) - 1 AS k FROM documents)")
+def dup_name_suffix(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "documents").select("doc_id", F.concat("lang", "source").alias("name"))
+    return versions.number_duplicates(rows, "name", "doc_id").select("doc_id", "unique_name")
+
+
+@_query("SELECT lower(n) AS normalized, arg_min(n, k) AS name FROM (SELECT p_name AS n, p_partkey AS k FROM part) GROUP BY lower(n)")
+def sqlar_name_map(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("ordinal"))
+    return versions.first_names(rows, F.lower("name"), "ordinal")
+
+
+# functions ------------------------------------------------------------------
+
+
+@_query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents")
+def content_hashes(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").select("doc_id", *values.digests(F.encode("text", "UTF-8"))[1:])
+
+
+@_query()
+def content_crc32(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").select("doc_id", values.crc32_hex(F.encode("text", "UTF-8")).alias("crc32"))
+
+
+_HEX = "upper(hex(encode(text)))"
+
+
+@_query(f"""WITH d AS (SELECT doc_id, {_HEX} AS h FROM documents) SELECT doc_id, sha256(unhex(substring(h, 1, 1024))) AS prefix_sha256, sha256(unhex(CASE WHEN length(h) <= 1024 THEN h ELSE right(h, 1024) END)) AS suffix_sha256, sha256(unhex(h)) AS full_sha256 FROM d""")
+def fingerprint_edges(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").select("doc_id", *values.edge_fingerprint(F.encode("text", "UTF-8")))
+
+
+@_query("""WITH d AS (SELECT doc_id, octet_length(encode(text)) AS size, sha256(text) AS whole FROM documents),
+s AS (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN size + 1 ELSE size END AS size, CASE WHEN doc_id % 5 = 2 THEN 11.0 ELSE 10.25 END AS mtime, CASE WHEN doc_id % 5 = 3 THEN 'x' ELSE whole END AS whole FROM d WHERE doc_id % 5 <> 4)
+SELECT d.doc_id, CASE WHEN s.doc_id IS NULL THEN 'fresh' WHEN s.size <> d.size THEN 'size' WHEN floor(s.mtime) <> 10 THEN 'mtime' WHEN s.whole <> d.whole THEN 'content' ELSE 'fresh' END AS state FROM d LEFT JOIN s USING (doc_id)""")
+def staleness_check(spark, sf_dir):
+    text = F.encode("text", "UTF-8")
+    now = fx.table(spark, sf_dir, "documents").select("doc_id", F.octet_length(text).alias("size"), F.lit(10.75).alias("mtime"), *values.edge_fingerprint(text))
+    k = F.col("doc_id") % 5
+    old = now.where(k != 4).withColumn("size", F.when(k == 1, F.col("size") + 1).otherwise(F.col("size"))).withColumn("mtime", F.when(k == 2, 11.0).otherwise(10.25)).withColumn("full_sha256", F.when(k == 3, "x").otherwise(F.col("full_sha256")))
+    pack = lambda d, n: d.select("doc_id", F.struct("size", "mtime", "prefix_sha256", "suffix_sha256", "full_sha256").alias(n))
+    return pack(now, "now").join(pack(old, "stored"), "doc_id", "left").select("doc_id", values.staleness("stored", "now").alias("state"))
+
+
+_NAMES = "names AS (SELECT p_partkey, p_name || '.' || ['txt', 'tar', 'tar.gz', 'ZIP', 'xz', '001', 'aa', 'tgz', '7z', 'gz.txt'][p_partkey % 10 + 1] AS name FROM part)"
+
+
+def _names(spark, sf_dir):
+    ends = F.array(*[F.lit(x) for x in ("txt", "tar", "tar.gz", "ZIP", "xz", "001", "aa", "tgz", "7z", "gz.txt")])
+    return fx.table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit("."), F.element_at(ends, (F.col("p_partkey") % 10 + 1).cast("int"))).alias("name"))
+
+
+@_query(f"""WITH {_NAMES} SELECT p_partkey, name, CASE p_partkey % 10 WHEN 0 THEN 'plain' WHEN 9 THEN 'plain' WHEN 4 THEN 'compressed' WHEN 5 THEN 'split' WHEN 6 THEN 'split' ELSE 'archive' END AS kind,
+CASE WHEN p_partkey % 10 IN (0, 5, 6, 9) THEN name ELSE left(name, length(name) - length(['txt', 'tar', 'tar.gz', 'ZIP', 'xz', '001', 'aa', 'tgz', '7z', 'gz.txt'][p_partkey % 10 + 1]) - 1) END AS stem FROM names""")
+def archive_ext_class(spark, sf_dir):
+    return _names(spark, sf_dir).select("p_partkey", "name", paths.archive_class("name").alias("kind"), paths.strip_archive("name").alias("stem"))
+
+
+@_query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages) SELECT page_id, link FROM l""")
+def html_links(spark, sf_dir):
+    return fx.table(spark, sf_dir, "pages").select("page_id", F.explode(html.links("html")).alias("link"))
+
+
+@_query("""SELECT doc_id, 'text/plain' AS kind, 'txt' AS extension, sha256(text) AS sha256 FROM documents""")
+def data_uri_decode(spark, sf_dir):
+    uri = F.concat(F.lit("data:text/plain;charset=utf-8;base64,"), F.base64(F.encode("text", "UTF-8")))
+    rows = fx.table(spark, sf_dir, "documents").select("doc_id", F.explode(html.data_uris(F.concat(F.lit('<img src="'), F.regexp_replace(uri, r"\s", ""), F.lit('">')))).alias("uri"))
+    return rows.select("doc_id", html.media_type("uri").alias("kind"), html.media_extension(html.media_type("uri")).alias("extension"), F.sha2(html.data_bytes("uri"), 256).alias("sha256"))
+
+
+@_query("""SELECT o_orderkey, '/' || o_orderpriority || '/' || o_custkey AS path, '/' || o_orderpriority AS parent, o_custkey::VARCHAR AS name FROM orders""")
+def path_normalize(spark, sf_dir):
+    raw = F.concat(F.lit("../a/.././/./"), F.col("o_orderpriority"), F.lit("/x/..//"), F.col("o_custkey").cast("string"), F.lit("/"))
+    return fx.table(spark, sf_dir, "orders").select("o_orderkey", paths.normalize(raw).alias("path")).select("o_orderkey", "path", paths.parent("path").alias("parent"), paths.basename("path").alias("name"))
+
+
+@_query("SELECT o_orderkey, o_orderkey AS from_octal, o_orderkey AS from_hex FROM orders")
+def number_fields(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return fx.table(spark, sf_dir, "orders").select("o_orderkey", values.octal(F.concat(F.lit(" 0"), F.conv(k.cast("string"), 10, 8), F.lit(" "))).alias("from_octal"), values.hexadecimal(F.lpad(F.conv(k.cast("string"), 10, 16), 8, "0")).alias("from_hex"))
+
+
+@_query("""SELECT p_partkey, (p_partkey * [1, 1024, 1048576, 1024][p_partkey % 4 + 1])::BIGINT AS bytes, CASE WHEN p_partkey % 4 = 3 THEN -1 ELSE p_partkey * [1, 60, 3600][p_partkey % 4 + 1] END::BIGINT AS seconds FROM part""")
+def size_duration_parse(spark, sf_dir):
+    k = F.col("p_partkey")
+    pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), (k % 4 + 1).cast("int"))
+    return fx.table(spark, sf_dir, "part").select("p_partkey", values.byte_size(F.concat(k.cast("string"), pick("", "K", " MiB", "kb"))).alias("bytes"), F.coalesce(values.duration_seconds(F.concat(k.cast("string"), pick("s", "m", "h", "d"))), F.lit(-1).cast("long")).alias("seconds"))
+
+
+@_query("""SELECT o_orderkey, epoch(date_trunc('day', o_orderdate))::BIGINT AS dos_seconds, (epoch(date_trunc('day', o_orderdate)))::DOUBLE AS filetime FROM orders""")
+def date_fields(spark, sf_dir):
+    d = F.col("o_orderdate")
+    packed = F.shiftleft(F.year(d) - 1980, 9) + F.shiftleft(F.month(d), 5) + F.dayofmonth(d)
+    days = F.unix_date(d.cast("date")).cast("long") * 86400
+    return fx.table(spark, sf_dir, "orders").select("o_orderkey", values.dos_timestamp(packed, F.lit(0)).alias("dos_seconds"), values.filetime_seconds((days + 11644473600) * 10000000).alias("filetime"))
+
+
+@_query("""SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, (regexp_matches(regexp_extract(url, '://([^/?#]*)', 1), '^.*\\.example\\.(com|net)$') AND NOT regexp_matches(regexp_extract(url, '://([^/?#]*)', 1), '^blog\\..*$')) AS chosen FROM pages""")
+def host_glob(spark, sf_dir):
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    return fx.table(spark, sf_dir, "pages").select("page_id", host.alias("host"), paths.host_matches(host, ["*.example.com", "*.example.n?t", "!blog.*"]).alias("chosen"))
+
+
+# byte ranges ----------------------------------------------------------------
+
+
+@_query("""WITH b AS (SELECT user_id, event_id AS block FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id, event_id FROM events WHERE event_type <> 'purchase')
+SELECT r.user_id, r.event_id, coalesce(max(b.block), -1) AS block FROM r LEFT JOIN b ON b.user_id = r.user_id AND b.block <= r.event_id GROUP BY r.user_id, r.event_id""")
+def block_asof(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    blocks = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("data_offset"), F.col("event_id").alias("block"))
+    return ranges.block_of(e.where("event_type <> 'purchase'").select("user_id", "event_id"), blocks, "user_id", "event_id", ["block"]).withColumn("block", F.coalesce("block", F.lit(-1).cast("long")))
+
+
+@_query("""WITH b AS (SELECT user_id, event_id AS data_offset, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS data_end FROM events WHERE event_type = 'purchase') SELECT * FROM b WHERE data_end IS NOT NULL""")
+def block_intervals(spark, sf_dir):
+    blocks = fx.table(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("data_offset"))
+    return ranges.block_intervals(blocks, "user_id")
+
+
+@_query("SELECT user_id, event_id, floor(value)::BIGINT AS len, coalesce(sum(floor(value)::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS logical_offset FROM events")
+def segment_offsets(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events").select("user_id", "event_id", F.floor("value").cast("long").alias("len"))
+    return ranges.segment_offsets(e, "user_id", "event_id", "len")
+
+
+@_query("""WITH s AS (SELECT user_id, event_id AS ord, floor(value)::BIGINT AS len, coalesce(sum(floor(value)::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS logical_offset FROM events), r AS (SELECT DISTINCT user_id, 100::BIGINT AS "offset", 250::BIGINT AS size FROM events)
+SELECT user_id, ord, ord * 1000 + greatest(r."offset", logical_offset) - logical_offset AS file_offset, least(r."offset" + size, logical_offset + len) - greatest(r."offset", logical_offset) AS len FROM r JOIN s USING (user_id) WHERE logical_offset < r."offset" + size AND logical_offset + len > r."offset" """)
+def stencil_read(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("ord"), F.floor("value").cast("long").alias("len"), F.lit("data").alias("kind"), (F.col("event_id") * 1000).alias("file_offset"))
+    reads = e.select("user_id", F.lit(100).cast("long").alias("offset"), F.lit(250).cast("long").alias("size")).distinct()
+    return ranges.overlapping_segments(reads, ranges.segment_offsets(e, "user_id", "ord", "len"), "user_id").select("user_id", "ord", "file_offset", "len")
+
+
+@_query("SELECT doc_id, s AS start, least(s + 4095, n_chars - 1) AS stop FROM (SELECT doc_id, n_chars, unnest(generate_series(0, n_chars - 1, 4096)) AS s FROM documents WHERE n_chars > 0)")
+def range_windows(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "documents").select("doc_id", F.explode(ranges.windows(F.col("n_chars"), 4096)).alias("w"))
+    return rows.select("doc_id", "w.start", "w.stop")
+
+
+@_query("SELECT user_id, event_id, coalesce(lag(event_id + 40) OVER (PARTITION BY user_id ORDER BY event_id) = event_id, false) AS sequential FROM events")
+def sequential_reads(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_id").alias("offset"), F.lit(40).cast("long").alias("size"))
+    return ranges.sequential_reads(e, "user_id", "event_id").select("user_id", "event_id", "sequential")
+
+
+@_query("""WITH v AS (SELECT DISTINCT p_brand, p_partkey AS n FROM part WHERE p_partkey % 7 <> 3), i AS (SELECT *, n - row_number() OVER (PARTITION BY p_brand ORDER BY n) AS island FROM v)
+SELECT p_brand, min(n) AS first, max(n) AS last, count(*) AS parts FROM i GROUP BY p_brand, island""")
+def split_volume_islands(spark, sf_dir):
+    return ranges.volume_islands(fx.table(spark, sf_dir, "part").where("p_partkey % 7 <> 3").select("p_brand", "p_partkey"), "p_brand", "p_partkey")
+
+
+_TS = "epoch(date_trunc('second', ts))::BIGINT"
+
+
+@_query(f"""WITH c AS (SELECT user_id, {_TS} AS t, event_id FROM events), n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) <= 86400 THEN 0 ELSE 1 END AS new FROM c),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id) AS session FROM n) SELECT user_id, session::BIGINT AS session, min(t) AS first_ts, max(t) AS last_ts, count(*) AS changes FROM s GROUP BY user_id, session""")
+def idle_gap_commit(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events").select("user_id", fx.seconds("ts").alias("t"))
+    return ranges.idle_sessions(e, "user_id", "t", 86400)
+
+
+@_query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'view', ts, event_id) AS victim_rank FROM events")
+def lru_victim(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") == "view").alias("pinned"), "ts")
+    return ranges.eviction_order(e, "user_id", "pinned", "ts", "event_id").select("user_id", "event_id", "victim_rank")
+
+
+@_query("SELECT l_returnflag, l_linestatus, round(exp(avg(ln(l_extendedprice))), 6) AS geomean FROM lineitem WHERE l_extendedprice > 0 GROUP BY ALL")
+def geomean(spark, sf_dir):
+    return ranges.geometric_mean(fx.table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice").select("l_returnflag", "l_linestatus", F.round("geomean", 6).alias("geomean"))
+
+
+@_query("SELECT user_id::VARCHAR AS archive_id, event_type AS serial, sum(floor(value)::BIGINT)::BIGINT AS size, min(event_id) AS first_offset, count(*) AS pages FROM events GROUP BY ALL")
+def stream_pages(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("archive_id"), F.col("event_type").alias("serial"), F.col("event_id").alias("offset"), F.floor("value").cast("long").alias("size"))
+    return ranges.group_pages(e).select("archive_id", "serial", "size", "first_offset", F.size("ranges").cast("long").alias("pages"))
+
+
+@_query("SELECT count(*) AS files FROM orders")
+def file_count(spark, sf_dir):
+    return fx.table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("files"))
