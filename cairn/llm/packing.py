@@ -13,7 +13,6 @@ gives no pieces.  Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,18 +25,19 @@ from cairn.llm.common import materialize, text_of
 
 #: Marks that end a word and are a token run of their own behind letters.
 MARKS = ".,;:!?|*&%#$"
-#: White space to Python's split() but not to the tokenizer's patterns.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Most words, and most cores of a generation, that a worker keeps.
-CACHE_WORDS, CACHE_CORES = 300_000, 500_000
+#: Letters whose lower case is one letter too.
+PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+#: Most cores that a worker keeps in each of two generations.
+CACHE_CORES = 500_000
 
 
 class WordEncoder:
     """Ids of texts, word by word, for a tokenizer that never joins across white space.
 
-    A word is its core, a run of letters, and the marks behind it; each distinct
-    core is encoded once while one of two generations of the cache holds it.  The
-    result equals that of encoding the whole text.
+    A word of plain letters is its lower-cased core and the marks behind it; any
+    other word is taken whole.  Each distinct core is encoded once while one of
+    two generations of the cache holds it; words are told apart and put together
+    in arrays.  The result equals that of encoding the whole text.
     """
 
     def __init__(self, path: str):
@@ -49,12 +49,14 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def _learn(self, missing: list[str]) -> None:
-        """Encode cores: runs of letters as one text, one word end each, the others apart."""
+        """Encode cores: runs of letters as one text with one word end each, the others apart."""
         plain = [w for w in missing if w.isalpha()]
         for a in range(0, len(plain), 5000):
             part = plain[a : a + 5000]
@@ -72,41 +74,51 @@ class WordEncoder:
             if not w.isalpha():
                 self.cores[w] = self._whole(w)
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if ODD_SPACE.search(t) else t.split() for t in texts]
-        distinct = set()
-        for ws in split:
-            distinct.update(ws or ())
-        missing = distinct.difference(self.words)
-        if len(self.words) + len(missing) > CACHE_WORDS:
-            self.words, missing = {}, distinct
-        parts, cores = {}, set()
-        for w in missing:
-            bare = w.rstrip(MARKS)
-            if bare.isalpha() and "Σ" not in bare:
-                core = bare.lower()
-                marks = w[len(bare) :]
-                cores.add(core)
-                if marks:
-                    cores.add(marks)
-                parts[w] = core, marks
-            else:
-                cores.add(w)
-                parts[w] = w, ""
-        fresh, older = self.cores, self.older
-        self._learn([w for w in cores if w not in fresh and w not in older])
-        fresh, older = self.cores, self.older
-        get = lambda w: fresh[w] if w in fresh else older[w]
-        known = self.words
-        for w, (core, marks) in parts.items():
-            known[w] = get(core) + get(marks) if marks else get(core)
-        if len(fresh) > CACHE_CORES:
-            self.older, self.cores = fresh, {}
-        return [self._whole(t) if ws is None else b"".join(map(known.__getitem__, ws)) for t, ws in zip(texts, split, strict=True)]
+    def _resolve(self, distinct: list[str]) -> list[bytes]:
+        """Ids of each distinct core, as bytes."""
+        if len(self.cores) > CACHE_CORES:
+            self.older, self.cores = self.cores, {}
+        found = list(map(self.cores.get, distinct))
+        absent = [w for w, x in zip(distinct, found, strict=True) if x is None]
+        if not absent:
+            return found
+        for w, x in zip(absent, map(self.older.get, absent), strict=True):
+            if x is not None:
+                self.cores[w] = x
+        self._learn([w for w in absent if w not in self.cores])
+        return list(map(self.cores.__getitem__, distinct))
+
+    def encode(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, each with ``end``; where each starts, and the end of all)."""
+        split = pc.ascii_split_whitespace(texts)  # other white space stays inside words, which then are taken whole
+        edge = split.offsets.to_numpy().astype(np.int64)
+        edge -= edge[0]
+        coded = split.flatten().dictionary_encode()
+        word = coded.dictionary
+        bare = pc.utf8_rtrim(word, characters=MARKS)
+        plain = pc.match_substring_regex(bare, PLAIN)
+        core = pc.if_else(plain, pc.utf8_lower(bare), word).dictionary_encode()
+        # marks are the rest of a plain word: empty for the others
+        rest = pc.if_else(plain, pc.binary_length(word), 0).to_numpy() - pc.if_else(plain, pc.binary_length(bare), 0).to_numpy()
+        marks = np.zeros(len(word), dtype=np.int64)
+        tail = np.nonzero(rest)[0]
+        tails = [w[-n:] for w, n in zip(word.take(pa.array(tail)).to_pylist(), rest[tail].tolist(), strict=True)]
+        names = {m: i + 1 for i, m in enumerate(dict.fromkeys(tails))}
+        marks[tail] = [names[m] for m in tails]
+        pieces = self._resolve(core.dictionary.to_pylist() + list(names))
+        known = len(core.dictionary)
+        pieces = [b"", *pieces[known:], *pieces[:known], np.array(end, dtype="<u4").tobytes()]
+        size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
+        ids = np.frombuffer(b"".join(pieces), dtype="<u4")
+        start = np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        first = core.indices.to_numpy().astype(np.int64) + len(names) + 1
+        order = np.stack([first[at], marks[at]], axis=1).ravel()  # a core and its marks for each word
+        order = np.insert(order, 2 * edge[1:], len(pieces) - 1)
+        length = size[order]
+        stop = np.cumsum(length)
+        flat = ids[np.repeat(start[order] - stop + length, length) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        return flat, np.concatenate([[0], stop[2 * edge[1:] + np.arange(len(texts))]])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -119,7 +131,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def _chunks(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def _chunks(column: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes of text, so one batch of long texts stays small."""
     start = size = 0
     for i, n in enumerate(pc.binary_length(column).to_pylist()):
@@ -134,7 +146,6 @@ def _chunks(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]
 def tokenize(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1) -> DataFrame:
     """(doc_id, part, local, n_tokens, ids): ids with the end id, and the place in their partition."""
     schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("local", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
         from pyspark import TaskContext
@@ -142,11 +153,11 @@ def tokenize(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1) -> DataFr
         part, local, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
         for batch in batches:
             for a, b in _chunks(batch.column(1)):
-                ids = [x + end for x in enc.encode(batch.column(1).slice(a, b - a).to_pylist())]
-                n = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
-                at = local + np.cumsum(n) - n
-                local += int(n.sum())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([part] * len(ids), pa.int32()), pa.array(at), pa.array(n), pa.array(ids, pa.binary())], schema=schema)
+                flat, edge = enc.encode(batch.column(1).slice(a, b - a), [end_id])
+                n = np.diff(edge)
+                ids = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((edge * 4).astype(np.int32)), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([part] * len(n), pa.int32()), pa.array(local + edge[:-1]), pa.array(n), ids], schema=schema)
+                local += int(edge[-1])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, part int, local long, n_tokens long, ids binary")
 
