@@ -8,12 +8,16 @@ likeness of 0.8 agree in a sketch with probability about 0.41, and in none of 30
 with 1.3e-7.
 
 Equal texts are one node.  In each bucket of agreeing sketches all nodes are
-compared with the least one (a star, so a bucket of n costs n).  Where the links
-found leave a bucket with several components, its nodes are compared across
-components if they agree in a second sketch too; so links between members that
-are not the least are found as well, and groups that merely share a passage are
-not paired.  A pair is linked if its shingle sets have a Jaccard likeness of 0.8
-and the words an edit similarity of 0.8 by banded alignment.
+compared with the least one, its hub, so a bucket of n costs n comparisons.  A pair
+is linked if its shingle sets have a Jaccard likeness of 0.8 and the words an edit
+similarity of 0.8 by banded alignment.
+
+Members of one bucket can be linked to each other and not to the hub.  If d(x) is
+the set of shingles in which x and the hub differ, a link from a node y that is
+not linked to the hub to a node x needs more than 4/9 of d(x) in d(y): both carry the
+same changes.  So the differences are sketched too (three least of 30
+permutations, by hub), and where such a bucket has several components its nodes
+are compared with its least and its greatest one.  No step pairs all of a bucket.
 
 Cases: null and empty texts are equal texts, one class; texts without a word are
 linked to equal texts only; a text under five words has one shingle, all its
@@ -33,6 +37,8 @@ from cairn.llm.common import materialize, text_of, words
 from cairn.llm.components import components
 
 SHINGLE, SKETCHES, ORDER, LIKE = 5, 30, 4, 0.8
+#: Shingles in a sketch of differences.
+DIFFERENT = 3
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -188,26 +194,46 @@ def sketch_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, h1 long, h2 long, keys array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, like: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
+def difference_keys(hub: int, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Sketches of the shingles that only one of two texts has, told apart by hub."""
+    d = np.setxor1d(a, b)
+    if not len(d):
+        return []
+    k = min(DIFFERENT, len(d))
+    v = (d[None, :] ^ _ADD[:, None]) * _MUL[:, None]
+    v ^= v >> np.uint64(32)
+    picked = np.sort(np.partition(v, k - 1, axis=1)[:, :k], axis=1)
+    key = _mix(_ADD + np.uint64(hub & (1 << 64) - 1))
+    for j in range(k):
+        key = _mix(key * np.uint64(0xD6E8FEB86659FD93) + picked[:, j])
+    return key.view(np.int64).tolist()
+
+
+def verify(pairs: DataFrame, texts: DataFrame, like: float, *, differences: bool = False) -> DataFrame:
+    """(a, b, linked, keys) of pairs (a, b): whether their texts are similar, and on demand the sketches of their differences."""
     left = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     both = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
-        codes, last = Codes(), (None, None)
+        codes, last = Codes(), (None, None, None)
         for batch in batches:
             a, b, ta, tb = (batch.column(i) for i in range(4))
-            hit = []
+            out = []
             for i in range(len(a)):
                 x, y = a[i].as_py(), b[i].as_py()
                 if last[0] != x:
-                    last = (x, codes.of(ta[i].as_py()))
-                if similar(last[1], codes.of(tb[i].as_py()), like):
-                    hit.append((x, y))
-            if hit:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*hit, strict=True)], names=["a", "b"])
+                    own = codes.of(ta[i].as_py())
+                    last = (x, own, np.unique(shingle(own)))
+                other = codes.of(tb[i].as_py())
+                out.append((x, y, similar(last[1], other, like), difference_keys(x, last[2], np.unique(shingle(other))) if differences else []))
+                if len(out) >= 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, linked boolean, keys array<long>")
 
 
 def near_duplicates(docs: DataFrame, *, like: float = LIKE) -> DataFrame:
@@ -216,31 +242,27 @@ def near_duplicates(docs: DataFrame, *, like: float = LIKE) -> DataFrame:
     node = table.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
     member = materialize(table.select("doc_id", "h1", "h2").join(node, ["h1", "h2"]).select("doc_id", "node").distinct(), "members")
     nodes = table.join(node, (table["h1"] == node["h1"]) & (table["h2"] == node["h2"]) & (table["doc_id"] == node["node"])).select("node", "keys")
-    rows = materialize(nodes.select("node", F.explode("keys").alias("key")).distinct(), "rows")
+    rows = nodes.select("node", F.explode("keys").alias("key"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text_of().alias("text"))
-    hub = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
+    hub = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub <> most").select("key", "hub")
     pairs = rows.join(hub, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(verify(pairs, texts, like), "links")
+    star = materialize(verify(pairs, texts, like, differences=True), "star")
     # texts that share a doc_id are one document
     several = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    own = links.unionByName(member.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b")))
-    root = components(own)
-    more = materialize(verify(_across(rows, root), texts, like), "links")
+    links = star.where("linked").select("a", "b").unionByName(member.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b")))
+    root = components(links)
+    more = materialize(verify(_beside_hub(star, root), texts, like).where("linked").select("a", "b"), "links")
     if not more.isEmpty():
-        root = components(own.unionByName(more))
+        root = components(root.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
     return member.join(root.withColumnRenamed("id", "node"), "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
-def _across(rows: DataFrame, root: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components that agree in two sketches."""
-    known = rows.join(root, rows["node"] == root["id"], "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    split = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_ = known.join(split, "key").groupBy("node", "root").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    twos = open_.select("node", "root", F.explode(F.flatten(F.transform("keys", lambda k, i: F.transform(F.slice("keys", i + F.lit(2), F.size("keys")), lambda m: F.xxhash64(k, m))))).alias("two"))
-    alive = twos.groupBy("two").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("two")
-    twos = twos.join(alive, "two")
-    other = twos.select("two", F.col("node").alias("b"), F.col("root").alias("rb"))
-    return twos.join(other, "two").where("node < b and root <> rb").select(F.col("node").alias("a"), "b").distinct()
+def _beside_hub(star: DataFrame, root: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components whose differences from a hub agree in a sketch."""
+    known = star.join(root, star["b"] == root["id"], "left").select(F.col("b").alias("node"), F.coalesce("root", "b").alias("root"), F.explode("keys").alias("key"))
+    ends = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("node", "root")).alias("first"), F.max(F.struct("node", "root")).alias("last")).where("low <> high").select("key", "first", "last")
+    met = known.join(ends, "key").select("node", "root", F.explode(F.array("first", "last")).alias("end")).where("end.root <> root")
+    return met.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct()
 
 
 def keep_representatives(docs: DataFrame, *, like: float = LIKE) -> DataFrame:
