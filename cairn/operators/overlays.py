@@ -51,7 +51,8 @@ def rename(overlay: DataFrame, base: DataFrame, moves: DataFrame) -> DataFrame:
     """Overlay after renaming files: ``moves(path, name, new_path, new_name)``; directories are refused."""
     view = apply_overlay(base, overlay)
     moved = view.join(moves, list(MEMBER)).where(~values.is_directory("mode"))
-    made = moved.select(F.col("new_path").alias("path"), F.col("new_name").alias("name"), *[c for c in overlay.columns if c not in (*MEMBER, "deleted")])
+    rest = [F.col(f.name) if f.name in moved.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in overlay.schema.fields if f.name not in (*MEMBER, "deleted")]
+    made = moved.select(F.col("new_path").alias("path"), F.col("new_name").alias("name"), *rest)
     return mark_present(mark_deleted(overlay, base, moved.select(*MEMBER)), made)
 
 

@@ -3,8 +3,12 @@
 from pyspark.sql import types as T
 
 
+_KINDS = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
+
+
 def _t(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """A flat schema from ``name kind`` pairs, without a session."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (x.split() for x in spec.split(", "))])
 
 
 FILES = _t("archive_id string, path string, name string, version_key long, header_offset long, data_offset long, size long, mtime double, mode long, type_flag int, linkname string, uid long, gid long, is_archive boolean, is_sparse boolean, is_generated boolean, is_tombstone boolean, recursion_depth int, backend string")
