@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import materialize
+
 #: Public suffixes of two labels; fixed values.
 TWO_LABEL_SUFFIXES = ["ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.uk"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,38 +44,34 @@ def domain_of(host: Column) -> Column:
     return F.when(two.isin(TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
 
 
-def _spread(level: DataFrame, name: str) -> DataFrame:
-    """One row: the strength of the prior at a level, from the spread of its rates."""
-    sums = level.agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum(F.when(F.col("n") > 0, F.col("b") * F.col("b") / F.col("n"))).alias("q"), F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("k"))
-    m = F.col("b") / F.col("n")
-    noise = m * (1 - m)
-    between = (F.col("q") - F.col("b") * F.col("b") / F.col("n")) / F.col("n") - noise * (F.col("k") - 1) / F.col("n")
-    strength = F.when(F.coalesce(F.col("n"), F.lit(0)) == 0, F.lit(2.0)).otherwise(F.least(F.lit(200.0), F.greatest(F.lit(2.0), noise / F.greatest(F.lit(1e-6), between) - 1)))
-    return sums.select(F.lit(0).alias("_g"), strength.alias(f"s_{name}"), F.coalesce(F.col("n"), F.lit(0)).alias(f"n_{name}_all"), F.coalesce(F.col("b"), F.lit(0)).alias(f"b_{name}_all"))
+def _spread(level: DataFrame) -> tuple[float, float, float]:
+    """(strength, labels, bad labels) of a level: the prior's strength from the spread of its rates, three numbers."""
+    row = level.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("b"), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("b") * F.col("b") / F.col("n"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("n") > 0, 1).otherwise(0)), F.lit(0))).first()
+    n, b, q, k = row
+    if n == 0:
+        return 2.0, 0.0, 0.0
+    noise = b / n * (1 - b / n)
+    between = (q - b * b / n) / n - noise * (k - 1) / n
+    return min(200.0, max(2.0, noise / max(1e-6, between) - 1)), n, b
 
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame, *, z: float = 1.645) -> DataFrame:
     """One row per host of ``pages(page_id, host)``: posterior mean and lower bound.
 
-    ``outcomes(page_id, bad)`` holds one row per label, ``bad`` 0, 1 or null.
+    ``outcomes(page_id, bad)`` holds one row per label, ``bad`` 0, 1 or null.  Counts
+    are written once, a row for each host; the levels above are sums of them.
     """
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     labelled = pages.join(outcomes.where(F.col("bad").isNotNull()), "page_id").groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("b"))
-    level = hosts.join(labelled, "host", "left").select("host", "pages", F.coalesce("n", F.lit(0.0)).alias("n"), F.coalesce("b", F.lit(0.0)).alias("b"), domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
+    level = materialize(hosts.join(labelled, "host", "left").select("host", "pages", F.coalesce("n", F.lit(0.0)).alias("n"), F.coalesce("b", F.lit(0.0)).alias("b"), domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")), "hosts")
     domain = level.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     suffix = domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    # One row each, so these broadcasts are bounded whatever the input.
-    scale = F.broadcast(_spread(level, "host").join(F.broadcast(_spread(domain, "domain")), "_g").join(F.broadcast(_spread(suffix, "suffix")), "_g"))
-    out = (
-        level.join(domain.select("domain", "suffix", F.col("n").alias("n_d"), F.col("b").alias("b_d")), ["domain", "suffix"])
-        .join(suffix.select("suffix", F.col("n").alias("n_s"), F.col("b").alias("b_s")), "suffix")
-        .withColumn("_g", F.lit(0))
-        .join(scale, "_g")
-    )
-    mu_0 = (F.col("b_host_all") + 1) / (F.col("n_host_all") + 2)
-    mu_s = (F.col("b_s") + F.col("s_suffix") * mu_0) / (F.col("n_s") + F.col("s_suffix"))
-    mu_d = (F.col("b_d") + F.col("s_domain") * mu_s) / (F.col("n_d") + F.col("s_domain"))
-    out = out.withColumn("_a", F.col("b") + F.col("s_host") * mu_d).withColumn("_c", F.col("n") - F.col("b") + F.col("s_host") * (1 - mu_d))
+    s_host, n_all, b_all = _spread(level)
+    s_domain, s_suffix = _spread(domain)[0], _spread(suffix)[0]
+    out = level.join(domain.select("domain", "suffix", F.col("n").alias("n_d"), F.col("b").alias("b_d")), ["domain", "suffix"]).join(suffix.select("suffix", F.col("n").alias("n_s"), F.col("b").alias("b_s")), "suffix")
+    mu_s = (F.col("b_s") + s_suffix * ((b_all + 1) / (n_all + 2))) / (F.col("n_s") + s_suffix)
+    mu_d = (F.col("b_d") + s_domain * mu_s) / (F.col("n_d") + s_domain)
+    out = out.withColumn("_a", F.col("b") + s_host * mu_d).withColumn("_c", F.col("n") - F.col("b") + s_host * (1 - mu_d))
     total = F.col("_a") + F.col("_c")
     return out.select("host", "domain", "suffix", "pages", "n", "b", (F.col("_a") / total).alias("bad_mean"), (F.col("_a") / total - z * F.sqrt(F.col("_a") * F.col("_c") / (total * total * (total + 1)))).alias("bad_low"))
 
