@@ -409,16 +409,16 @@ def _finish(batches):
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, spans, kept_sha256, sign): the maximal removed byte runs of each document; ``sign`` is a hash of its text."""
-    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # shards: a bucket is a partition, so they are even
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_of().alias("text")).withColumn("sign", F.xxhash64("text")).withColumn("second", F.xxhash64(F.lit(7), "text"))
     firsts = rows.groupBy("sign", "second").agg(F.min("doc_id").alias("first")).groupBy("sign").agg(F.collect_list(F.struct("second", "first")).alias("firsts"))
     dealt = rows.where(F.octet_length("text") >= WIDTH).select("sign", "text").mapInArrow(lambda b: _deal_anchors(b, count), "bucket int, blob binary, sign long, own binary")
-    told = dealt.repartition(count, "bucket").mapInArrow(_shared_anchors, "sign long, own binary").groupBy("sign").agg(F.collect_list("own").alias("own"))
+    told = dealt.repartitionById(count, F.col("bucket")).mapInArrow(_shared_anchors, "sign long, own binary").groupBy("sign").agg(F.collect_list("own").alias("own"))
     known = materialize(firsts.join(told, "sign", "left"), "anchors")
     state = materialize(rows.join(known, "sign").select("doc_id", "text", "sign", "second", "firsts", "own").mapInArrow(_judge, _STATE_DDL), "state")
     open_ = state.where(F.col("text").isNotNull())
     contexts = open_.select("doc_id", "sign", "text", "own").mapInArrow(lambda b: _deal_contexts(b, count), "bucket int, blob binary")
-    ranges = contexts.repartition(count, "bucket").mapInArrow(_cover, "sign long, doc_id long, ranges binary").groupBy("sign", "doc_id").agg(F.collect_list("ranges").alias("ranges"))
+    ranges = contexts.repartitionById(count, F.col("bucket")).mapInArrow(_cover, "sign long, doc_id long, ranges binary").groupBy("sign", "doc_id").agg(F.collect_list("ranges").alias("ranges"))
     finished = open_.select("sign", "doc_id", "text").join(ranges, ["sign", "doc_id"], "left").select("doc_id", "text", "ranges", "sign").mapInArrow(_finish, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept_sha256 string, sign long")
     out = state.where(F.col("text").isNull()).select(*_OUT).unionByName(finished)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
