@@ -15,7 +15,7 @@ similarity of 0.8 by banded alignment.
 Members of one bucket can be linked to each other and not to the hub.  If d(x) is
 the set of shingles in which x and the hub differ, a link from a node y that is
 not linked to the hub to a node x needs more than 4/9 of d(x) in d(y): both carry the
-same changes.  So the differences are sketched too (three least of 30
+same changes.  So the differences are sketched too (the three least of 20
 permutations, by hub), and where such a bucket has several components its nodes
 are compared with its least and its greatest one.  No step pairs all of a bucket.
 
@@ -37,8 +37,8 @@ from cairn.llm.common import materialize, text_of, words
 from cairn.llm.components import components
 
 SHINGLE, SKETCHES, ORDER, LIKE = 5, 30, 4, 0.8
-#: Shingles in a sketch of differences.
-DIFFERENT = 3
+#: Sketches of differences, and shingles in each.
+DIFFERENCES, DIFFERENT = 20, 3
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -200,10 +200,10 @@ def difference_keys(hub: int, a: np.ndarray, b: np.ndarray) -> list[int]:
     if not len(d):
         return []
     k = min(DIFFERENT, len(d))
-    v = (d[None, :] ^ _ADD[:, None]) * _MUL[:, None]
+    v = (d[None, :] ^ _ADD[:DIFFERENCES, None]) * _MUL[:DIFFERENCES, None]
     v ^= v >> np.uint64(32)
     picked = np.sort(np.partition(v, k - 1, axis=1)[:, :k], axis=1)
-    key = _mix(_ADD + np.uint64(hub & (1 << 64) - 1))
+    key = _mix(_ADD[:DIFFERENCES] + np.uint64(hub & (1 << 64) - 1))
     for j in range(k):
         key = _mix(key * np.uint64(0xD6E8FEB86659FD93) + picked[:, j])
     return key.view(np.int64).tolist()
@@ -261,7 +261,7 @@ def _beside_hub(star: DataFrame, root: DataFrame) -> DataFrame:
     """Pairs of nodes of different components whose differences from a hub agree in a sketch."""
     known = star.join(root, star["b"] == root["id"], "left").select(F.col("b").alias("node"), F.coalesce("root", "b").alias("root"), F.explode("keys").alias("key"))
     ends = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("node", "root")).alias("first"), F.max(F.struct("node", "root")).alias("last")).where("low <> high").select("key", "first", "last")
-    met = known.join(ends, "key").select("node", "root", F.explode(F.array("first", "last")).alias("end")).where("end.root <> root")
+    met = known.join(ends, "key").select("node", "root", F.explode(F.filter(F.array("first", "last"), lambda e: e["root"] != F.col("root"))).alias("end"))
     return met.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct()
 
 
