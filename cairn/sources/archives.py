@@ -23,10 +23,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cairn.functions.values import S_IFREG
 from cairn.plans import schema as S
-from cairn.sources import codecs, formats, tar
+from cairn.sources import codecs, formats, images, tar
 from cairn.sources.records import Entry, FormatError, clean, split
 
-PARSERS = {"zip": formats.zip_archive, "asar": formats.asar, "ar": formats.ar, "cpio": formats.cpio, "iso": formats.iso9660, "warc": formats.warc, "xar": formats.xar, "cab": formats.cab, "sqlar": formats.sqlar, "fat": formats.fat, "ogg": formats.ogg, "html": formats.html}
+PARSERS = {"zip": formats.zip_archive, "asar": formats.asar, "ar": formats.ar, "cpio": formats.cpio, "iso": formats.iso9660, "warc": formats.warc, "xar": formats.xar, "cab": formats.cab, "sqlar": formats.sqlar, "fat": formats.fat, "ogg": formats.ogg, "html": formats.html, "7z": images.seven_zip, "squashfs": images.squashfs, "ext4": images.ext, "pdf": images.pdf}
 _ROW = ["archive_id", "path", "name", "version_key", "header_offset", "data_offset", "size", "mtime", "mode", "type_flag", "linkname", "uid", "gid", "is_archive", "is_sparse", "is_generated", "is_tombstone", "recursion_depth", "backend"]
 _SUFFIX = re.compile(r"(?i)(?<=.)\.(bz2|bzip2|gz|gzip|lz4|lzip|lzma|lz|lzo|xz|zlib|zstd|zst|zz|z)$")
 
@@ -325,9 +325,33 @@ class FolderSource(DataSource):
         return _FolderReader(self.options)
 
 
+class _GitReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.root, self.ref = options["path"], options.get("ref", "HEAD")
+
+    def read(self, partition):
+        for e in images.git_tree(self.root, self.ref, contents=False):
+            yield row(self.root, e, "git")
+
+
+class GitSource(DataSource):
+    """``spark.read.format("cairn-git").option("ref", "main").load(repository)``: a commit's tree as a catalog."""
+
+    @classmethod
+    def name(cls):
+        return "cairn-git"
+
+    def schema(self):
+        return S.FILES
+
+    def reader(self, schema):
+        return _GitReader(self.options)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ArchiveSource)
     spark.dataSource.register(FolderSource)
+    spark.dataSource.register(GitSource)
 
 
 def split_sets(names: DataFrame) -> DataFrame:
