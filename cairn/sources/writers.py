@@ -86,6 +86,19 @@ class ZipBuilder:
         self.zip.close()
 
 
+def empty_archive(kind: str = "tar") -> bytes:
+    """An archive without members: two zero blocks, the same in zstd, or an empty ZIP directory."""
+    if kind == "zip":
+        return b"PK\x05\x06" + bytes(18)
+    if kind == "tar.zst":
+        import zstandard
+
+        return zstandard.ZstdCompressor().compress(bytes(1024))
+    if kind != "tar":
+        raise ValueError(f"no empty archive of kind {kind}")
+    return bytes(1024)
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     files: list[tuple[str, str]]
