@@ -194,23 +194,24 @@ def fit(docs: DataFrame, *, per_language: int = 300, windows_per_doc: int = 4, w
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
     ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).withColumn("_r", rank).where(F.col("_r") <= per_language).select("doc_id", "lang").distinct()
-    # at most per_language ids a language: a bounded broadcast
-    chosen = rows.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).collect()
-    chosen.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
-    languages = sorted({r["lang"] for r in chosen})
-    g = np.random.default_rng(seed)
-    x, y = [], []
-    for r in chosen:
-        raw = np.frombuffer(r["text"].encode(), dtype=np.uint8)
-        if not len(raw):
-            continue
-        for _ in range(windows_per_doc):
-            at = int(g.integers(0, max(1, len(raw) - window + 1)))
-            piece = np.full(window, 32, dtype=np.uint8)
-            part = raw[at : at + window]
-            piece[: len(part)] = part
-            x.append(piece)
-            y.append(languages.index(r["lang"]))
+    # at most per_language ids a language: a bounded broadcast; only the windows come back
+    texts = rows.where(F.octet_length("text") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(F.broadcast(ids.withColumn("doc_id", F.col("doc_id").cast("long"))), ["doc_id", "lang"])
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for doc, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                raw, g = text.encode(), np.random.default_rng([seed, doc & (1 << 63) - 1])
+                for k in range(windows_per_doc):
+                    at = int(g.integers(0, max(1, len(raw) - window + 1)))
+                    out.append((lang, doc, k, raw[at : at + window].ljust(window)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["lang", "doc_id", "k", "raw"])
+
+    chosen = sorted(tuple(r) for r in texts.mapInArrow(cut, "lang string, doc_id long, k long, raw binary").collect())
+    languages = sorted({r[0] for r in chosen})
+    x = [np.frombuffer(r[3], dtype=np.uint8) for r in chosen]
+    y = [languages.index(r[0]) for r in chosen]
     if not x:
         return Model([], None)
     net = BiGRU(hidden, len(languages), seed)
