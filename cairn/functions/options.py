@@ -64,3 +64,27 @@ def remote(url: str) -> dict[str, str | int | None]:
     elif out["scheme"] == "dropbox":
         out |= {"path": "/" + "/".join(x for x in (u.netloc + unquote(u.path)).split("/") if x)}
     return out
+
+
+def ssh_options(config: str, host: str, lists: tuple[str, ...] = ("identityfile", "certificatefile")) -> dict[str, str | list[str]]:
+    """Options of an ``ssh_config`` text for a host.
+
+    The first value of an option wins, list options gather all; a ``Host`` line
+    matches by globs, and not if one of its ``!`` globs does.
+    """
+    out: dict[str, str | list[str]] = {}
+    on = True
+    for line in config.splitlines():
+        m = re.match(r"\s*([A-Za-z][A-Za-z0-9]*)\s*(?:=|\s)\s*(.*?)\s*$", line.split("#", 1)[0])
+        if not m or not m[2]:
+            continue
+        key, value = m[1].lower(), m[2].strip('"')
+        if key == "host":
+            globs = value.split()
+            hit = lambda g: re.fullmatch("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in g), host) is not None
+            on = any(hit(g) for g in globs if g[0] != "!") and not any(hit(g[1:]) for g in globs if g[0] == "!")
+        elif on and key in lists:
+            out.setdefault(key, []).append(value)
+        elif on:
+            out.setdefault(key, value)
+    return out

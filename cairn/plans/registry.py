@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from cairn.functions import html, paths, values
 from cairn.operators import layers, overlays, ranges, unions, versions
 from cairn.plans import fixtures as fx
+from cairn.plans.session import shared_dir
+from cairn.streaming import idle
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -445,6 +448,22 @@ def idle_gap_commit(spark, sf_dir):
     return ranges.idle_sessions(e, "user_id", "t", 86400)
 
 
+@_query(f"""WITH c AS (SELECT user_id, ts AS w, {_TS} AS t, event_id FROM events), n AS (SELECT *, CASE WHEN w - lag(w) OVER (PARTITION BY user_id ORDER BY w, event_id) <= INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM c),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY w, event_id) AS session FROM n)
+SELECT '/u/' || user_id AS path, 'f' AS name, min(t) AS first_ts, max(t) AS last_ts, count(*) AS changes FROM s GROUP BY user_id, session HAVING max(w) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events)""")
+def idle_gap_stream(spark, sf_dir):
+    """The same rule as a stream, run to the end of its input: sessions that the watermark has closed."""
+    events = fx.table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+    changes = stream.select(F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("path"), F.lit("f").alias("name"), F.col("ts").cast("timestamp").alias("ts"))
+    place = f"{shared_dir(spark)}/cairn-idle-{uuid.uuid4().hex}"
+    query = idle.commit_stream(changes, "1 day", lambda rows, generation: rows.write.mode("append").parquet(f"{place}/rows"), checkpoint=f"{place}/checkpoint", flush=True).start()
+    query.awaitTermination()
+    done = spark.read.schema("path string, name string, first_ts timestamp, last_ts timestamp, changes long").parquet(f"{place}/rows")
+    at = lambda c: fx.seconds(f"cast({c} as timestamp_ntz)").alias(c)
+    return done.select("path", "name", at("first_ts"), at("last_ts"), "changes")
+
+
 @_query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'view', ts, event_id) AS victim_rank FROM events")
 def lru_victim(spark, sf_dir):
     e = fx.table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") == "view").alias("pinned"), "ts")

@@ -71,6 +71,12 @@ def test_options(tmp_path):
     assert options.index_place(archive, ["", str(tmp_path / "idx")]) == places[1]
 
 
+def test_ssh_options():
+    text = 'User all\n# x\nHost *.org !bad.org\n  Port 22\n  IdentityFile a\nHost h?.org\n  Port 23\n  IdentityFile "b"\n'
+    assert options.ssh_options(text, "h1.org") == {"user": "all", "port": "22", "identityfile": ["a", "b"]}
+    assert options.ssh_options(text, "bad.org") == {"user": "all"}
+
+
 def test_empty_archives():
     assert tarfile.open(fileobj=io.BytesIO(writers.empty_archive())).getnames() == []
     assert zipfile.ZipFile(io.BytesIO(writers.empty_archive("zip"))).namelist() == []
