@@ -192,8 +192,11 @@ def fit(docs: DataFrame, *, per_language: int = 300, windows_per_doc: int = 4, w
     size of the table, chosen without reading their texts.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
-    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).withColumn("_r", rank).where(F.col("_r") <= per_language).select("doc_id", "lang").distinct()
+    # the least of the least of groups of partitions: no task gets the rows of all partitions
+    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"), (F.spark_partition_id() % 997).alias("_p"))
+    for keys in (("lang", "_p"), ("lang",)):
+        ids = ids.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "doc_id"))).where(F.col("_r") <= per_language).drop("_r")
+    ids = ids.select("doc_id", "lang").distinct()
     # at most per_language ids a language: a bounded broadcast; only the windows come back
     texts = rows.where(F.octet_length("text") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(F.broadcast(ids.withColumn("doc_id", F.col("doc_id").cast("long"))), ["doc_id", "lang"])
 
