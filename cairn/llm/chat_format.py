@@ -23,6 +23,7 @@ roles; later ones are ordinary turns.  Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -55,6 +56,7 @@ def count_tokens(texts: list[str], tokenizer_path: str | None) -> list[int]:
     """Tokens of each formatted turn; without a tokenizer, its words and marks."""
     if tokenizer_path is None:
         return [len(re.findall(r"\w+|[^\w\s]", t)) for t in texts]
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     tok = _LOADED.get(tokenizer_path)
