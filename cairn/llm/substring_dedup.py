@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize, text_of
+from cairn.llm.common import materialize, release_memory, text_of
 from cairn.llm.suffix_array import permuted_prefixes, suffix_array, words_at
 
 WIDTH, GRAM = 50, 16
@@ -103,7 +103,8 @@ def _load(blob: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def _bucket(h: np.ndarray, count: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
+    """Shard of an anchor, by the low half of its hash: anchors are least hashes, so the high half is not even."""
+    return ((h & np.uint64(0xFFFFFFFF)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
 
 
 def _runs(sorted_: np.ndarray) -> np.ndarray:
@@ -147,9 +148,9 @@ def _deal_anchors(batches, count: int):
         # a shared anchor has two witnesses, no answer needed; another one its text, which waits for one
         key = np.concatenate([h[start], h[start][shared]])
         text, wait = np.concatenate([low, high[shared]]), np.concatenate([~shared, np.zeros(int(shared.sum()), bool)])
-        order = np.argsort(key, kind="stable")
-        key, text, wait = key[order], text[order], wait[order]
         where = _bucket(key, count)
+        order = np.lexsort((key, where))
+        key, text, wait, where = key[order], text[order], wait[order], where[order]
         begin = _runs(where)
         for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
             names, index = np.unique(text[a:b], return_inverse=True)
@@ -183,6 +184,7 @@ _TOLD = pa.schema([("sign", pa.int64()), ("own", pa.binary())])
 
 def _shared_anchors(batches):
     """From blocks: (sign, hashes) of the texts whose anchors another text has too."""
+    release_memory()
     key, text, wait = [], [], []
     for batch in batches:
         blobs, signs, own = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -243,6 +245,7 @@ _CONTEXT = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
 def _deal_contexts(batches, count: int):
     """Bytes around the candidate anchors, in blocks for the shards."""
+    release_memory()
     hold: list[tuple] = []
     size = 0
 
@@ -253,8 +256,9 @@ def _deal_contexts(batches, count: int):
         base = np.cumsum([0] + [len(x[3]) for x in hold])
         raw = np.frombuffer(b"".join(x[3] for x in hold), dtype=np.uint8)
         ids, signs = np.array([x[4] for x in hold]), np.array([x[5] for x in hold])
-        order = np.argsort(h, kind="stable")
-        where = _bucket(h[order], count)
+        where = _bucket(h, count)
+        order = np.lexsort((h, where))
+        where = where[order]
         begin, rows = _runs(where), []
         for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
             own = order[a:b]
@@ -329,6 +333,7 @@ def covered_windows(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc:
 
 def _cover(batches):
     """From a shard's contexts: the byte ranges of each text that windows of smaller documents cover."""
+    release_memory()
     parts = []
     for batch in batches:
         for blob in batch.column(1).to_pylist():
