@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import text_of, words
+from cairn.llm.common import release_memory, text_of, words
 
 #: Most benchmark bytes held by a task at once; a larger benchmark takes more blocks.
 BLOCK_BYTES = 8_000_000
@@ -92,6 +92,7 @@ def _count(docs: DataFrame, grams: dict[tuple, int]) -> list[int]:
     schema = pa.schema([("gram", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
+        release_memory()
         n = np.zeros(len(grams), dtype=np.int64)
         get = grams.get
         for batch in batches:
@@ -205,6 +206,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, min_scor
         shared, sizes = _prepare(docs.select(text_of().alias("text")), block, n, rare_docs)
 
         def run(batches, shared=shared, sizes=sizes):
+            release_memory()
             block, seeds, bags = shared.value
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()

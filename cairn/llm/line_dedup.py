@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import materialize
+from cairn.llm.common import materialize, release_memory
 
 DEPTH, PARTS, LONG, FIELD = 3, 5, 10, "<*>"
 VARIABLE = re.compile(r"[\d@]|://")
@@ -92,6 +92,7 @@ def document_keys(docs: DataFrame, min_tokens: int) -> DataFrame:
     """(key, doc_id) once for each template of each document."""
 
     def run(batches):
+        release_memory()
         for batch in batches:
             found, owner = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -149,6 +150,7 @@ def dedup_lines(docs: DataFrame, *, min_docs: int = 10, min_tokens: int = 3) ->
 
 
 def _apply(batches, first: dict | None, min_tokens: int):
+    release_memory()
     for batch in batches:
         names = batch.schema.names
         own = batch.column(len(names) - 1).to_pylist() if first is None else None

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize, text_of, words
+from cairn.llm.common import materialize, release_memory, text_of, words
 from cairn.llm.components import components
 
 SHINGLE, SKETCHES, ORDER, LIKE = 5, 30, 4, 0.8
@@ -54,7 +54,7 @@ _MUL = _mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0
 class Codes:
     """Hash of each word, kept while there are not too many."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.known, self.most = {}, most
 
     def of(self, text: str | None) -> np.ndarray:
@@ -177,6 +177,7 @@ def sketch_table(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
+        release_memory()
         codes = Codes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -216,6 +217,7 @@ def verify(pairs: DataFrame, texts: DataFrame, like: float, *, differences: bool
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
+        release_memory()
         codes, last = Codes(), (None, None, None)
         for batch in batches:
             a, b, ta, tb = (batch.column(i) for i in range(4))

@@ -21,14 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize, text_of
+from cairn.llm.common import materialize, release_memory, text_of
 
 #: Marks that end a word and are a token run of their own behind letters.
 MARKS = ".,;:!?|*&%#$"
 #: Letters whose lower case is one letter too.
 PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 #: Most cores that a worker keeps in each of two generations.
-CACHE_CORES = 500_000
+CACHE_CORES = 300_000
 
 
 class WordEncoder:
@@ -108,16 +108,18 @@ class WordEncoder:
         pieces = self._resolve(core.dictionary.to_pylist() + list(names))
         known = len(core.dictionary)
         pieces = [b"", *pieces[known:], *pieces[:known], np.array(end, dtype="<u4").tobytes()]
-        size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
+        size = np.fromiter(map(len, pieces), dtype=np.int32, count=len(pieces)) // 4
         ids = np.frombuffer(b"".join(pieces), dtype="<u4")
-        start = np.cumsum(size) - size
+        start = np.cumsum(size, dtype=np.int32) - size
         at = coded.indices.to_numpy()
-        first = core.indices.to_numpy().astype(np.int64) + len(names) + 1
-        order = np.stack([first[at], marks[at]], axis=1).ravel()  # a core and its marks for each word
+        first = core.indices.to_numpy() + np.int32(len(names) + 1)
+        order = np.stack([first[at], marks[at].astype(np.int32)], axis=1).ravel()  # a core and its marks for each word
         order = np.insert(order, 2 * edge[1:], len(pieces) - 1)
         length = size[order]
-        stop = np.cumsum(length)
-        flat = ids[np.repeat(start[order] - stop + length, length) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        stop = np.cumsum(length)  # 32 bits do for where a piece is, not for a very long text
+        where = np.repeat((start[order] - stop + length), length)
+        where += np.arange(len(where))
+        flat = ids[where]
         return flat, np.concatenate([[0], stop[2 * edge[1:] + np.arange(len(texts))]])
 
 
@@ -131,7 +133,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def _chunks(column: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def _chunks(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes of text, so one batch of long texts stays small."""
     start = size = 0
     for i, n in enumerate(pc.binary_length(column).to_pylist()):
@@ -150,6 +152,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1) -> DataFr
     def run(batches):
         from pyspark import TaskContext
 
+        release_memory()
         part, local, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
         for batch in batches:
             for a, b in _chunks(batch.column(1)):
