@@ -8,6 +8,7 @@ and never a recomputation from the start.
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import uuid
 
@@ -25,6 +26,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairn-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of what is now written
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -39,7 +39,7 @@ WIDTH, GRAM = 50, 16
 SPAN = WIDTH - GRAM + 1
 PIECE = 1_000_000  # windows of a text handled at once
 BLOCK = 24_000_000  # bytes of text whose anchors are dealt together
-SHARD = 2_000_000  # bytes of contexts in one suffix array, unless one anchor has more
+SHARD = 4_000_000  # bytes of contexts in one suffix array, unless one anchor has more
 NULL_ID = -(1 << 63)
 
 
@@ -112,16 +112,23 @@ def _runs(sorted_: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.nonzero(sorted_[1:] != sorted_[:-1])[0] + 1])
 
 
-def _told(text: np.ndarray, h: np.ndarray):
-    """(sign, hashes as bytes) of each text among pairs."""
-    order = np.lexsort((h, text))
-    text, h = text[order], h[order]
-    start = _runs(text)
-    for a, b in zip(start.tolist(), [*start[1:].tolist(), len(text)], strict=True):
-        yield int(text[a]), h[a:b].tobytes()
+def _short(h: np.ndarray) -> np.ndarray:
+    """What tells an anchor from the others of its text."""
+    return (h >> np.uint64(20)).astype(np.uint32)
 
 
-_ANCHOR = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("sign", pa.int64()), ("own", pa.binary())])
+def _told(text: np.ndarray, h: np.ndarray, count: int):
+    """(group, block) of pairs: each text's anchors in short form, dealt by text."""
+    group = text % count
+    order = np.lexsort((text, group))
+    group, text, h = group[order], text[order], _short(h[order])
+    start = _runs(group)
+    for a, b in zip(start.tolist(), [*start[1:].tolist(), len(group)], strict=True):
+        first = _runs(text[a:b])
+        yield int(group[a]), _dump(text[a:b][first], np.diff(np.concatenate([first, [b - a]])).astype(np.uint32), h[a:b])
+
+
+_BLOCK = pa.schema([("bucket", pa.int32()), ("told", pa.bool_()), ("blob", pa.binary())])
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -144,7 +151,7 @@ def _deal_anchors(batches, count: int):
         many = np.repeat(shared, np.diff(np.concatenate([start, [len(h)]])))
         rows = []
         if many.any():
-            rows += [(sign % count, None, sign, own) for sign, own in _told(t[many], h[many])]
+            rows += [(group, True, blob) for group, blob in _told(t[many], h[many], count)]
         # a shared anchor has two witnesses, no answer needed; another one its text, which waits for one
         key = np.concatenate([h[start], h[start][shared]])
         text, wait = np.concatenate([low, high[shared]]), np.concatenate([~shared, np.zeros(int(shared.sum()), bool)])
@@ -154,8 +161,8 @@ def _deal_anchors(batches, count: int):
         begin = _runs(where)
         for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
             names, index = np.unique(text[a:b], return_inverse=True)
-            rows.append((int(where[a]), _dump(np.diff(key[a:b], prepend=np.uint64(0)), names, index.astype(np.uint32), wait[a:b].view(np.uint8)), None, None))
-        return _rows(rows, _ANCHOR)
+            rows.append((int(where[a]), False, _dump(np.diff(key[a:b], prepend=np.uint64(0)), names, index.astype(np.uint32), wait[a:b].view(np.uint8))))
+        return _rows(rows, _BLOCK)
 
     for batch in batches:
         signs = batch.column(0).to_pylist()
@@ -179,24 +186,22 @@ def _deal_anchors(batches, count: int):
         yield close()
 
 
-_TOLD = pa.schema([("sign", pa.int64()), ("own", pa.binary())])
-
-
-def _shared_anchors(batches):
-    """From blocks: (sign, hashes) of the texts whose anchors another text has too."""
+def _shared_anchors(batches, count: int):
+    """From a shard's blocks: blocks, dealt by text, of the anchors that another text has too."""
     release_memory()
     key, text, wait = [], [], []
     for batch in batches:
-        blobs, signs, own = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        out = [(s, o) for s, o in zip(signs, own, strict=True) if o is not None]
-        if out:
-            yield _rows(out, _TOLD)
-        for blob in blobs:
-            if blob is not None:
-                step, names, index, waits = _load(blob, "<u8", "<i8", "<u4", "u1")
-                key.append(np.cumsum(step, dtype=np.uint64))
-                text.append(names[index])
-                wait.append(waits)
+        passed = []
+        for bucket, told, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if told:
+                passed.append((bucket, True, blob))
+                continue
+            step, names, index, waits = _load(blob, "<u8", "<i8", "<u4", "u1")
+            key.append(np.cumsum(step, dtype=np.uint64))
+            text.append(names[index])
+            wait.append(waits)
+        if passed:
+            yield _rows(passed, _BLOCK)
     if key:
         h, t, w = np.concatenate(key), np.concatenate(text), np.concatenate(wait).astype(bool)
         key = text = wait = None
@@ -205,13 +210,34 @@ def _shared_anchors(batches):
         start = _runs(h)
         many = np.repeat(np.minimum.reduceat(t, start) != np.maximum.reduceat(t, start), np.diff(np.concatenate([start, [len(h)]]))) & w
         if many.any():
-            rows = list(_told(t[many], h[many]))
-            for a in range(0, len(rows), 20_000):
-                yield _rows(rows[a : a + 20_000], _TOLD)
+            yield _rows([(group, True, blob) for group, blob in _told(t[many], h[many], count)], _BLOCK)
 
 
-_STATE = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept_sha256", pa.string()), ("sign", pa.int64()), ("text", pa.string()), ("own", pa.binary())])
-_STATE_DDL = "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept_sha256 string, sign long, text string, own binary"
+_TOLD = pa.schema([("sign", pa.int64()), ("own", pa.binary())])
+
+
+def _by_text(batches):
+    """(sign, own): the shared anchors of each text, in short form."""
+    texts, hashes = [], []
+    for batch in batches:
+        for blob in batch.column(2).to_pylist():
+            names, times, own = _load(blob, "<i8", "<u4", "<u4")
+            texts.append(np.repeat(names, times))
+            hashes.append(own)
+    if not texts:
+        return
+    t, h = np.concatenate(texts), np.concatenate(hashes)
+    order = np.argsort(t, kind="stable")
+    t, h = t[order], h[order]
+    start = _runs(t)
+    stop = [*start[1:].tolist(), len(t)]
+    for a in range(0, len(start), 20_000):
+        yield _rows([(int(t[i]), h[i:j].tobytes()) for i, j in zip(start[a : a + 20_000].tolist(), stop[a : a + 20_000], strict=True)], _TOLD)
+
+
+_STATE = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept_sha256", pa.string()), ("sign", pa.int64()), ("text", pa.binary()), ("own", pa.binary())])
+_ZIP = zstandard.ZstdCompressor(level=3)
+_STATE_DDL = "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept_sha256 string, sign long, text binary, own binary"
 _OUT = ["doc_id", "n_bytes", "spans", "kept_sha256", "sign"]
 
 
@@ -231,7 +257,7 @@ def _judge(batches):
             elif first < doc or not own:
                 rows.append((doc, n, [], hashlib.sha256(raw).hexdigest(), sign, None, None))
             else:
-                rows.append((doc, n, None, None, sign, text, b"".join(own)))
+                rows.append((doc, n, None, None, sign, _ZIP.compress(raw), own))
                 size += n
             if size > 16_000_000:
                 yield _rows(rows, _STATE)
@@ -240,6 +266,10 @@ def _judge(batches):
             yield _rows(rows, _STATE)
 
 
+def _unzip(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
 _CONTEXT = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
 
@@ -270,9 +300,9 @@ def _deal_contexts(batches, count: int):
 
     for batch in batches:
         for doc, sign, text, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            raw = text.encode()
+            raw = _unzip(text)
             h, first, last = anchors(raw)
-            pick = np.isin(h, np.frombuffer(own, dtype=np.uint64))
+            pick = np.isin(_short(h), np.frombuffer(own, dtype=np.uint32))
             if pick.any():
                 hold.append((h[pick], first[pick], last[pick] - first[pick] + WIDTH, raw, doc, sign))
                 size += len(raw)
@@ -304,31 +334,36 @@ def _distinct(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np
     return pick, inverse
 
 
-def covered_windows(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For contexts in ``data``: of each of their windows, in order, the least doc that has its 50 bytes."""
+def covered_windows(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """For contexts in ``data``: of each of their windows, in order, the least doc that has its 50 bytes.
+
+    Where an anchor has one distinct context only, all its windows have the same
+    documents; the other contexts go through the suffix array.
+    """
     pick, number = _distinct(data, begin, size)
     least = np.full(len(pick), np.iinfo(np.int64).max)
     np.minimum.at(least, number, doc)
-    u_size = size[pick]
-    start = np.cumsum(u_size) - u_size
-    flat = np.repeat(begin[pick] - start, u_size) + np.arange(int(u_size.sum()))
-    text = np.ascontiguousarray(data[flat])
-    windows = u_size - WIDTH + 1
-    owner = np.repeat(np.arange(len(pick)), windows)
+    windows = size[pick] - WIDTH + 1
     w_start = np.cumsum(windows) - windows
-    place = np.repeat(start - w_start, windows) + np.arange(int(windows.sum()))
-    valid = np.full(len(text), -1, dtype=np.int64)
-    valid[place] = np.arange(len(place))
-    order = suffix_array(text, WIDTH)
-    order = order[valid[order] >= 0]
-    common = permuted_prefixes(words_at(text), order, WIDTH)
-    classes = np.nonzero(common < WIDTH)[0]
-    ranked = valid[order]
-    result = np.empty(len(place), dtype=np.int64)
-    result[ranked] = np.repeat(np.minimum.reduceat(least[owner[ranked]], classes), np.diff(np.concatenate([classes, [len(ranked)]])))
+    result = np.repeat(least, windows)
+    _, inverse, times = np.unique(anchor[pick], return_inverse=True, return_counts=True)
+    mixed = np.nonzero(times[inverse] > 1)[0]
+    if len(mixed):
+        u_size, count = size[pick[mixed]], windows[mixed]
+        start = np.cumsum(u_size) - u_size
+        text = np.ascontiguousarray(data[np.repeat(begin[pick[mixed]] - start, u_size) + np.arange(int(u_size.sum()))])
+        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        place, target = np.repeat(start, count) + step, np.repeat(w_start[mixed], count) + step
+        window = np.full(len(text), -1, dtype=np.int64)
+        window[place] = np.arange(len(place))
+        order = suffix_array(text, WIDTH)
+        order = order[window[order] >= 0]
+        classes = np.nonzero(permuted_prefixes(words_at(text), order, WIDTH) < WIDTH)[0]
+        ranked = window[order]
+        owner = np.repeat(least[mixed], count)
+        result[target[ranked]] = np.repeat(np.minimum.reduceat(owner[ranked], classes), np.diff(np.concatenate([classes, [len(ranked)]])))
     count = windows[number]
-    back = np.repeat(w_start[number] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-    return result[back]
+    return result[np.repeat(w_start[number] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
 
 
 def _cover(batches):
@@ -359,7 +394,7 @@ def _cover(batches):
     for b in cuts:
         own = order[a:b]
         a = b
-        least = covered_windows(raw, begin[own], size[own], doc[own])
+        least = covered_windows(raw, begin[own], size[own], doc[own], h[own])
         count = size[own] - WIDTH + 1
         owner = np.repeat(np.arange(len(own)), count)
         hit = least < doc[own][owner]
@@ -405,7 +440,7 @@ def _finish(batches):
     for batch in batches:
         rows = []
         for doc, text, ranges, sign in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            raw, spans = text.encode(), []
+            raw, spans = _unzip(text), []
             if ranges:
                 spans = [{"start": a, "stop": b} for a, b in _merge(np.frombuffer(b"".join(ranges), dtype="<i8").reshape(-1, 2)).tolist()]
             rows.append((doc, len(raw), spans, hashlib.sha256(kept_bytes(raw, spans)).hexdigest(), sign))
@@ -417,8 +452,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     count = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # shards: a bucket is a partition, so they are even
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_of().alias("text")).withColumn("sign", F.xxhash64("text")).withColumn("second", F.xxhash64(F.lit(7), "text"))
     firsts = rows.groupBy("sign", "second").agg(F.min("doc_id").alias("first")).groupBy("sign").agg(F.collect_list(F.struct("second", "first")).alias("firsts"))
-    dealt = rows.where(F.octet_length("text") >= WIDTH).select("sign", "text").mapInArrow(lambda b: _deal_anchors(b, count), "bucket int, blob binary, sign long, own binary")
-    told = dealt.repartitionById(count, F.col("bucket")).mapInArrow(_shared_anchors, "sign long, own binary").groupBy("sign").agg(F.collect_list("own").alias("own"))
+    block = "bucket int, told boolean, blob binary"
+    dealt = rows.where(F.octet_length("text") >= WIDTH).select("sign", "text").mapInArrow(lambda b: _deal_anchors(b, count), block)
+    shared = dealt.repartitionById(count, F.col("bucket")).mapInArrow(lambda b: _shared_anchors(b, count), block)
+    told = shared.repartitionById(count, F.col("bucket")).mapInArrow(_by_text, "sign long, own binary")
     known = materialize(firsts.join(told, "sign", "left"), "anchors")
     state = materialize(rows.join(known, "sign").select("doc_id", "text", "sign", "second", "firsts", "own").mapInArrow(_judge, _STATE_DDL), "state")
     open_ = state.where(F.col("text").isNotNull())

@@ -54,18 +54,18 @@ def induce(data: np.ndarray, small: np.ndarray, seeds: np.ndarray) -> np.ndarray
     for c in range(256):
         own, i = large[c], 0
         while i < len(own):  # grows while the bucket's own byte repeats
-            push(large, own[i], False)
-            i += 1
-        for places in first[c]:
-            push(large, places, False)
+            waiting, i = own[i:], len(own)
+            push(large, np.concatenate(waiting), False)
+        if first[c]:
+            push(large, np.concatenate(first[c]), False)
     less: list[list] = [[] for _ in range(256)]  # each bucket from its end
     for c in range(255, -1, -1):
         own, i = less[c], 0
         while i < len(own):
-            push(less, own[i], True)
-            i += 1
-        for places in reversed(large[c]):
-            push(less, places[::-1], True)
+            waiting, i = own[i:], len(own)
+            push(less, np.concatenate(waiting), True)
+        if large[c]:
+            push(less, np.concatenate(large[c])[::-1], True)
     out = []
     for c in range(256):
         out += large[c]
