@@ -12,12 +12,13 @@ compared with the least one, its hub, so a bucket of n costs n comparisons.  A p
 is linked if its shingle sets have a Jaccard likeness of 0.8 and the words an edit
 similarity of 0.8 by banded alignment.
 
-Members of one bucket can be linked to each other and not to the hub.  If d(x) is
-the set of shingles in which x and the hub differ, a link from a node y that is
-not linked to the hub to a node x needs more than 4/9 of d(x) in d(y): both carry the
-same changes.  So the differences are sketched too (the three least of 20
-permutations, by hub), and where such a bucket has several components its nodes
-are compared with its least and its greatest one.  No step pairs all of a bucket.
+Members of one bucket can be linked to each other and not to the hub.  A bucket of
+several components is compared with a second hub, its node with the most links so
+far.  What then still has several components is finished by a complete step: each
+node outside the bucket's largest component meets all nodes of other components.
+The step is exact, so classes are the components of all similar pairs that agree in
+a sketch.  It runs in blocks: shingles are counted in ``CELLS`` cells, and only
+pairs whose cells can hold enough common shingles are compared word by word.
 
 Cases: null and empty texts are equal texts, one class; texts without a word are
 linked to equal texts only; a text under five words has one shingle, all its
@@ -37,8 +38,8 @@ from cairn.llm.common import materialize, release_memory, text_of, words
 from cairn.llm.components import components
 
 SHINGLE, SKETCHES, ORDER, LIKE = 5, 30, 4, 0.8
-#: Sketches of differences, and shingles in each.
-DIFFERENCES, DIFFERENT = 20, 3
+#: Complete step: nodes and bytes of text in a block, nodes that meet it in one part, cells of the counts.
+BLOCK, BLOCK_BYTES, PART, CELLS = 512, 32_000_000, 2000, 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -195,47 +196,71 @@ def sketch_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, h1 long, h2 long, keys array<long>")
 
 
-def difference_keys(hub: int, a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Sketches of the shingles that only one of two texts has, told apart by hub."""
-    d = np.setxor1d(a, b)
-    if not len(d):
-        return []
-    k = min(DIFFERENT, len(d))
-    v = (d[None, :] ^ _ADD[:DIFFERENCES, None]) * _MUL[:DIFFERENCES, None]
-    v ^= v >> np.uint64(32)
-    picked = np.sort(np.partition(v, k - 1, axis=1)[:, :k], axis=1)
-    key = _mix(_ADD[:DIFFERENCES] + np.uint64(hub & (1 << 64) - 1))
-    for j in range(k):
-        key = _mix(key * np.uint64(0xD6E8FEB86659FD93) + picked[:, j])
-    return key.view(np.int64).tolist()
-
-
-def verify(pairs: DataFrame, texts: DataFrame, like: float, *, differences: bool = False) -> DataFrame:
-    """(a, b, linked, keys) of pairs (a, b): whether their texts are similar, and on demand the sketches of their differences."""
+def verify(pairs: DataFrame, texts: DataFrame, like: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar."""
     left = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     both = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         release_memory()
-        codes, last = Codes(), (None, None, None)
+        codes, last = Codes(), (None, None)
         for batch in batches:
             a, b, ta, tb = (batch.column(i) for i in range(4))
             out = []
             for i in range(len(a)):
-                x, y = a[i].as_py(), b[i].as_py()
+                x = a[i].as_py()
                 if last[0] != x:
-                    own = codes.of(ta[i].as_py())
-                    last = (x, own, np.unique(shingle(own)))
-                other = codes.of(tb[i].as_py())
-                out.append((x, y, similar(last[1], other, like), difference_keys(x, last[2], np.unique(shingle(other))) if differences else []))
-                if len(out) >= 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                    out = []
+                    last = (x, codes.of(ta[i].as_py()))
+                if similar(last[1], codes.of(tb[i].as_py()), like):
+                    out.append((x, b[i].as_py()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                yield _links(out)
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+class Block:
+    """Nodes that others are compared with; components that a link joins count as one from then on."""
 
-    return both.mapInArrow(run, "a long, b long, linked boolean, keys array<long>")
+    def __init__(self):
+        self.nodes, self.roots, self.codes, self.rows, self.joined = [], [], [], [], {}
+        self.counts = self.sizes = None
+
+    @staticmethod
+    def count(codes: np.ndarray) -> np.ndarray:
+        return np.bincount((np.unique(shingle(codes)) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.int32)
+
+    def add(self, node: int, root: int, codes: np.ndarray) -> None:
+        self.nodes.append(node)
+        self.roots.append(root)
+        self.codes.append(codes)
+        self.rows.append(self.count(codes))
+
+    def find(self, root: int) -> int:
+        while root in self.joined:
+            root = self.joined[root]
+        return root
+
+    def links(self, node: int, root: int, rest: bool, codes: np.ndarray, like: float):
+        """Links of a node to the block; of two nodes outside the largest component the greater one is asked."""
+        if self.rows:
+            self.counts, self.rows = np.stack(self.rows), []
+            self.sizes = self.counts.sum(axis=1)
+        if self.counts is None:
+            return
+        own = self.count(codes)
+        # no cell has more common shingles than the lesser count
+        most = np.minimum(self.counts, own).sum(axis=1)
+        for i in np.nonzero(most >= like / (1 + like) * (self.sizes + own.sum()) - 1e-6)[0]:
+            x, y = self.find(self.roots[i]), self.find(root)
+            if x != y and not (rest and self.nodes[i] >= node) and similar(self.codes[i], codes, like):
+                self.joined[x] = y
+                yield self.nodes[i], node
 
 
 def near_duplicates(docs: DataFrame, *, like: float = LIKE) -> DataFrame:
@@ -247,24 +272,66 @@ def near_duplicates(docs: DataFrame, *, like: float = LIKE) -> DataFrame:
     rows = nodes.select("node", F.explode("keys").alias("key"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text_of().alias("text"))
     hub = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub <> most").select("key", "hub")
-    pairs = rows.join(hub, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    star = materialize(verify(pairs, texts, like, differences=True), "star")
+    bucket = materialize(rows.join(hub, "key").select("key", "hub", "node").distinct(), "buckets")
+    star = materialize(verify(bucket.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), texts, like), "star")
     # texts that share a doc_id are one document
     several = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    links = star.where("linked").select("a", "b").unionByName(member.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b")))
-    root = components(links)
-    more = materialize(verify(_beside_hub(star, root), texts, like).where("linked").select("a", "b"), "links")
-    if not more.isEmpty():
-        root = components(root.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
+    root = components(star.unionByName(member.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b"))))
+    for step in (lambda known: verify(_second_hub(known, star), texts, like), lambda known: _complete(known, texts, like)):
+        found = materialize(step(_open(bucket, root)), "links")
+        if not found.isEmpty():
+            root = components(root.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found))
     return member.join(root.withColumnRenamed("id", "node"), "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
-def _beside_hub(star: DataFrame, root: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components whose differences from a hub agree in a sketch."""
-    known = star.join(root, star["b"] == root["id"], "left").select(F.col("b").alias("node"), F.coalesce("root", "b").alias("root"), F.explode("keys").alias("key"))
-    ends = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("node", "root")).alias("first"), F.max(F.struct("node", "root")).alias("last")).where("low <> high").select("key", "first", "last")
-    met = known.join(ends, "key").select("node", "root", F.explode(F.filter(F.array("first", "last"), lambda e: e["root"] != F.col("root"))).alias("end"))
-    return met.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct()
+def _open(bucket: DataFrame, root: DataFrame) -> DataFrame:
+    """(key, hub, node, root) of the buckets that have several components."""
+    known = bucket.join(root.withColumnRenamed("id", "node"), "node", "left").select("key", "hub", "node", F.coalesce("root", "node").alias("root"))
+    several = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return materialize(known.join(several, "key"), "open")
+
+
+def _second_hub(known: DataFrame, star: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components, one of them the bucket's node with most links that is not its hub."""
+    linked = star.select("a").unionByName(star.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("a", "node")
+    second = known.where("node <> hub").join(linked, "node", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.col("node")).alias("order"), "node", "root")).alias("second"))
+    met = known.join(second, "key").where("root <> second.root")
+    return met.select(F.least("node", "second.node").alias("a"), F.greatest("node", "second.node").alias("b")).distinct()
+
+
+def _complete(known: DataFrame, texts: DataFrame, like: float) -> DataFrame:
+    """Links (a, b) of every two components of a bucket between which any is.
+
+    The nodes outside its largest component are dealt to blocks, all its nodes
+    to parts, and each part meets each block.
+    """
+    text = texts.withColumnRenamed("doc_id", "node")
+    sized = known.join(text.select("node", F.length("text").alias("size")), "node")
+    largest = sized.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).groupBy("key").agg(F.max(F.struct("n", "root", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    blocks = F.ceil(F.greatest((F.col("n") - F.col("top.n")) / BLOCK, (F.col("size") - F.col("top.size")) / BLOCK_BYTES, F.lit(1.0)))
+    dealt = known.join(largest.select("key", F.col("top.root").alias("top"), blocks.alias("blocks"), F.ceil(F.col("n") / PART).alias("parts")), "key").withColumn("rest", F.col("root") != F.col("top"))
+    number = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))
+    one = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)) + 1
+    held = dealt.where("rest").select("key", one("blocks", 1).alias("block"), number("parts").alias("part"), F.lit(0).alias("side"), "node", "root", "rest")
+    asked = dealt.select("key", number("blocks").alias("block"), one("parts", 2).alias("part"), F.lit(1).alias("side"), "node", "root", "rest")
+    met = held.unionByName(asked).join(text, "node").select("key", "block", "part", "side", "node", "root", "rest", "text")
+
+    def run(batches):
+        release_memory()
+        codes, group, block = Codes(), None, None
+        for batch in batches:
+            out = []
+            for *at, side, node, root, rest, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != group:
+                    group, block = at, Block()
+                if side:
+                    out += block.links(node, root, rest, codes.of(t), like)
+                else:
+                    block.add(node, root, codes.of(t))
+            if out:
+                yield _links(out)
+
+    return met.repartition("key", "block", "part").sortWithinPartitions("key", "block", "part", "side").mapInArrow(run, "a long, b long").distinct()
 
 
 def keep_representatives(docs: DataFrame, *, like: float = LIKE) -> DataFrame:

@@ -458,6 +458,46 @@ def test_near_duplicates_against_all_pairs(spark):
     assert kept == set(got.values())
 
 
+def test_near_copies_of_a_base_with_a_middle_id(spark, monkeypatch):
+    """Copies that are linked to their base only, and the base is no hub; with small blocks and parts too."""
+    rng = random.Random(29)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(600, " ".join(base))]
+    for i in [*range(600), *range(601, 1200)]:
+        w = list(base)
+        for j in rng.sample(range(200), rng.randint(1, 6)):
+            w[j] = f"x{i}y{j}"
+        rows.append((i, " ".join(w)))
+    codes = {i: near_dedup.Codes().of(t) for i, t in rows}
+    sets = {i: np.unique(near_dedup.shingle(c)) for i, c in codes.items()}
+    ids = sorted(sets)
+    place = {h: k for k, h in enumerate(np.unique(np.concatenate([*sets.values()])).tolist())}
+    # each shingle of the base has a column; those that a copy has alone are in no other
+    shared = np.zeros((len(ids), 196), dtype=np.float32)
+    column = {place[h]: k for k, h in enumerate(sets[600].tolist())}
+    for r, i in enumerate(ids):
+        shared[r, [column[place[h]] for h in sets[i].tolist() if place[h] in column]] = 1
+    both, size = shared @ shared.T, np.array([len(sets[i]) for i in ids])
+    close = np.argwhere(np.triu(both >= 4 / 9 * (size[:, None] + size[None, :]) - 0.5, 1))
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in close.tolist():
+        a, b = find(ids[x]), find(ids[y])
+        if a != b and near_dedup.similar(codes[ids[x]], codes[ids[y]]):
+            root[max(a, b)] = min(a, b)
+    want = {i: find(i) for i in ids}
+    assert 1 < len(set(want.values())) < 700
+    for block, part in [(near_dedup.BLOCK, near_dedup.PART), (40, 100)]:
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "PART", part)
+        assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(spark, rows)).collect()} == want
+
+
 def test_banded_distance_against_table():
     rng = random.Random(23)
     for _ in range(300):
