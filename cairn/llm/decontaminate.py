@@ -1,12 +1,12 @@
-"""Operator 5: benchmark decontamination by rare seeds and local alignment.
+"""Operator 5: benchmark decontamination by seeds and local alignment.
 
-The benchmark is taken in blocks of bounded size.  For a block, one pass counts
-in how many documents each of its word n-grams occurs; an n-gram is a seed of
-its item if it is among the item's rarest half or occurs in few documents.  A
-second pass finds the seeds in each document, cuts the passage around them and
+The benchmark is taken in blocks of bounded size.  For a block, one pass finds
+the word n-grams of its items in each document, cuts the passage around them and
 aligns it with the item by Smith-Waterman over words (match 1, mismatch and gap
 -1).  A pair is contaminated if the score reaches ``min_score`` of the item's
-words, so edited, cut and paraphrased copies are found.
+words, so edited, cut and paraphrased copies are found.  All n-grams of an item
+are seeds, however many documents hold them; what common ones find is dropped
+before alignment by exact bounds on the words in common.
 
 Cases: null and empty texts and items contain nothing; an item shorter than the
 n-gram is its own seed; repeated rows are judged each; equal items each match.
@@ -82,56 +82,42 @@ def _blocks(benchmark: DataFrame):
         yield block
 
 
-def _sizes(grams: dict) -> list[int]:
-    return sorted({len(g) for g in grams})
-
-
-def _count(docs: DataFrame, grams: dict[tuple, int]) -> list[int]:
-    """Documents with each n-gram; what comes back has one row for each n-gram of the block."""
-    sizes = _sizes(grams)
-    schema = pa.schema([("gram", pa.int32()), ("n", pa.int64())])
-
-    def run(batches):
-        release_memory()
-        n = np.zeros(len(grams), dtype=np.int64)
-        get = grams.get
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                w = words(text)
-                seen = {i for k in sizes for i in map(get, zip(*(w[j:] for j in range(k)), strict=False)) if i is not None}
-                if seen:
-                    n[list(seen)] += 1
-        at = np.nonzero(n)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], schema=schema)
-
-    found = docs.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    out = [0] * len(grams)
-    for r in found:
-        out[r["gram"]] = r["n"]
-    return out
-
-
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, min_score: float = 0.5, rare_docs: int = 20) -> DataFrame:
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, min_score: float = 0.5) -> DataFrame:
     """(doc_id, item_id, score, start_word, stop_word, item_words) for each document that holds an item."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     out = spark.createDataFrame([], PAIR)
     for block in _blocks(benchmark):
-        out = out.unionByName(_block_pairs(rows, block, n, min_score, rare_docs))
+        out = out.unionByName(_block_pairs(rows, block, n, min_score))
     return out
 
 
-def seeds_of(block: list[tuple[int, list[str]]], grams: dict[tuple, int], counts: list[int], n: int, rare_docs: int) -> dict[tuple, list[int]]:
+def seeds_of(block: list[tuple[int, list[str]]], n: int) -> dict[tuple, list[int]]:
     """Seed n-gram -> places of its items in the block."""
     seeds = defaultdict(list)
     for k, (_, w) in enumerate(block):
-        own = sorted(dict.fromkeys(ngrams(w, n)), key=lambda g: (counts[grams[g]], g))
-        for i, g in enumerate(own):
-            if i < (len(own) + 1) // 2 or counts[grams[g]] <= rare_docs:
-                seeds[g].append(k)
+        for g in dict.fromkeys(ngrams(w, n)):
+            seeds[g].append(k)
     return dict(seeds)
 
 
+def _may_reach(passage: list[str], bag: dict[str, int], need: float, size: int) -> bool:
+    """Whether an alignment of ``need`` can be in the passage: the score can't be above the words in common."""
+    left, shared = dict(bag), 0
+    for x in passage:
+        n = left.get(x, 0)
+        if n:
+            left[x] = n - 1
+            shared += 1
+    if shared < need:
+        return False
+    span = int(2 * size - need) + 1  # at most size matches, and as many words between them as keep the score
+    if len(passage) <= span:
+        return True
+    total = np.concatenate([[0], np.cumsum(np.fromiter((x in bag for x in passage), dtype=np.int64, count=len(passage)))])
+    return int((total[span:] - total[:-span]).max()) >= need
+
+
 def match_document(w: list[str], block, seeds: dict, bags: list[dict], sizes: list[int], min_score: float) -> list[tuple]:
     """(place in block, score, start, stop) of the best alignment of each item found in the document's words."""
     hits = defaultdict(list)
@@ -140,10 +126,12 @@ def match_document(w: list[str], block, seeds: dict, bags: list[dict], sizes: li
         for i, g in enumerate(zip(*(w[j:] for j in range(k)), strict=False)):
             for item in get(g, ()):
                 hits[item].append(i)
-    found = []
+    found, known = [], set(w) if hits else ()
     for k, at in hits.items():
         item = block[k][1]
         need, reach, best = min_score * len(item), 2 * len(item), None
+        if sum(c for x, c in bags[k].items() if x in known) < need:
+            continue
         at.sort()
         group = [at[0], at[0]]
         for i in [*at[1:], None]:
@@ -152,14 +140,7 @@ def match_document(w: list[str], block, seeds: dict, bags: list[dict], sizes: li
                 continue
             low = max(0, group[0] - reach)
             passage = w[low : group[1] + reach]
-            bag = dict(bags[k])
-            shared = 0  # the score can't be above the words in common
-            for x in passage:
-                left = bag.get(x, 0)
-                if left:
-                    bag[x] = left - 1
-                    shared += 1
-            if shared >= need:
+            if _may_reach(passage, bags[k], need, len(item)):
                 score, a, b = align(item, passage)
                 if score >= need and (best is None or score > best[0]):
                     best = (score, low + a, low + b)
@@ -170,19 +151,15 @@ def match_document(w: list[str], block, seeds: dict, bags: list[dict], sizes: li
     return found
 
 
-def _prepare(rows: DataFrame, block, n: int, rare_docs: int):
+def _prepare(rows: DataFrame, block, n: int):
     """(broadcast of block, seeds and word counts; n-gram sizes)."""
-    grams: dict[tuple, int] = {}
-    for _, w in block:
-        for g in ngrams(w, n):
-            grams.setdefault(g, len(grams))
-    seeds = seeds_of(block, grams, _count(rows, grams), n, rare_docs)
+    seeds = seeds_of(block, n)
     bags = [{x: w.count(x) for x in set(w)} for _, w in block]
-    return rows.sparkSession.sparkContext.broadcast((block, seeds, bags)), _sizes(grams)  # BLOCK_BYTES bounds it
+    return rows.sparkSession.sparkContext.broadcast((block, seeds, bags)), sorted({len(g) for g in seeds})  # BLOCK_BYTES bounds it
 
 
-def _block_pairs(rows: DataFrame, block, n: int, min_score: float, rare_docs: int) -> DataFrame:
-    shared, sizes = _prepare(rows, block, n, rare_docs)
+def _block_pairs(rows: DataFrame, block, n: int, min_score: float) -> DataFrame:
+    shared, sizes = _prepare(rows, block, n)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("stop_word", pa.int64()), ("item_words", pa.int64())])
 
     def run(batches):
@@ -199,11 +176,11 @@ def _block_pairs(rows: DataFrame, block, n: int, min_score: float, rare_docs: in
     return rows.mapInArrow(run, PAIR)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, min_score: float = 0.5, rare_docs: int = 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, min_score: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no benchmark item; no shuffle of texts."""
     out = docs
     for block in _blocks(benchmark):
-        shared, sizes = _prepare(docs.select(text_of().alias("text")), block, n, rare_docs)
+        shared, sizes = _prepare(docs, block, n)
 
         def run(batches, shared=shared, sizes=sizes):
             release_memory()

@@ -298,6 +298,25 @@ def test_decontamination_finds_planted_copies(spark, monkeypatch):
         assert kept == {i for i, _ in rows} - {i for i, _ in want}
 
 
+@pytest.mark.parametrize("edited", [False, True])
+def test_decontamination_of_a_part_that_many_documents_hold(spark, edited):
+    """The first half of an item in over 20 documents."""
+    rng = random.Random(31)
+    item = [f"item{i}" for i in range(40)]
+    rows, want = [], set()
+    for i in range(150):
+        part = []
+        if i % 3:
+            part = item[: 21 + edited]
+            if edited:
+                part[rng.randrange(1, 21)] = "edited"
+            want.add(i)
+        rows.append((i, " ".join([prose(100, rng), *part, prose(100, rng)])))
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.contaminated_pairs(frame(spark, rows), bench).collect()} == want
+    assert {r["doc_id"] for r in decontaminate.decontaminate(frame(spark, rows), bench).collect()} == {i for i, _ in rows} - want
+
+
 # 6 --------------------------------------------------------------------------
 
 
