@@ -10,13 +10,16 @@ template, and no step depends on the order of lines.
 
 A template that occurs in at least ``min_docs`` documents is recurring; its
 lines are dropped from all of them but the one with the smallest doc_id, so
-copies of a whole document never lose its content altogether.
+copies of a whole document never lose its content altogether.  An exact template
+of ``REPEATED`` or more words that are not variable says enough by itself: it is
+recurring from two documents on.  Short and generalised ones need ``min_docs``.
 
 Cases: null text stays null and has no lines; an empty text has one empty line;
 lines with fewer than ``min_tokens`` tokens (empty ones too) are always kept;
 the same line twice in a document counts once; rows with equal doc_id count as
 documents of their own but all keep lines as the first one; null doc_ids are
-never first.  Lines of any length are parsed whole.  Other columns pass through.
+never first (a template that only documents without an id hold needs ``min_docs``).
+Lines of any length are parsed whole.  Other columns pass through.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from pyspark.sql import types as T
 from cairn.llm.common import materialize, release_memory
 
 DEPTH, PARTS, LONG, FIELD = 3, 5, 10, "<*>"
+#: Words of an exact template that recurs from TWO documents on.
+REPEATED, TWO = 20, 2
 VARIABLE = re.compile(r"[\d@]|://")
 #: Recurring templates that may be broadcast; beyond, they are joined by a shuffle.
 BROADCAST_TEMPLATES = 2_000_000
@@ -67,9 +72,10 @@ def templates(line: str) -> list[str]:
     return out
 
 
-def _signed(x: int) -> int:
+def _signed(x: int, long: bool = False) -> int:
+    """The mixed key; its lowest bit tells the long exact templates."""
     x = ((x ^ x >> 29) * 0xBF58476D1CE4E5B9) & _M
-    x ^= x >> 32
+    x = (x ^ x >> 32) & ~1 | long
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -85,7 +91,7 @@ def keys(line: str, min_tokens: int) -> list[int]:
     b = bounds(n)
     terms = [h("\x1f".join(t[b[i] : b[i + 1]])) * _FACTORS[i + 1] for i in range(PARTS)]
     total = h("\x1f".join(t[:DEPTH])) * _FACTORS[0] + sum(terms) + n
-    return [_signed(total & _M), *[_signed((total - x + i + 1) & _M) for i, x in enumerate(terms)]]
+    return [_signed(total & _M, n - t.count(FIELD) >= REPEATED), *[_signed((total - x + i + 1) & _M) for i, x in enumerate(terms)]]
 
 
 def document_keys(docs: DataFrame, min_tokens: int) -> DataFrame:
@@ -112,8 +118,10 @@ def document_keys(docs: DataFrame, min_tokens: int) -> DataFrame:
 
 
 def recurring_templates(docs: DataFrame, *, min_docs: int = 10, min_tokens: int = 3) -> DataFrame:
-    """(key, docs, first_doc) of the templates that occur in ``min_docs`` documents or more."""
-    return document_keys(docs, min_tokens).groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc")).where(F.col("docs") >= min_docs)
+    """(key, docs, first_doc) of the templates that occur in ``min_docs`` documents or more, long exact ones in TWO."""
+    found = document_keys(docs, min_tokens).groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"))
+    long = (F.col("key").bitwiseAND(F.lit(1).cast("long")) == 1) & F.col("first_doc").isNotNull()
+    return found.where(F.col("docs") >= F.when(long, min(TWO, min_docs)).otherwise(min_docs))
 
 
 def _split(text: str, doc, first, min_tokens: int) -> tuple[list[str], int]:

@@ -249,6 +249,26 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, few):
     assert got[1][2] == 1 and got[3][2] == 2  # document 0 and document 1 keep the first ones
 
 
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_long_lines_recur_from_two_documents_on(spark, monkeypatch, few):
+    """Lines of 60 words in two and in nine documents go; short lines, numbers and lines changed in a word stay."""
+    rng = random.Random(37)
+    monkeypatch.setattr(line_dedup, "BROADCAST_TEMPLATES", few)
+    two, nine, short = (" ".join(f"{x}{rng.choice(VOCABULARY)}" for _ in range(n)) for x, n in (("two", 60), ("nine", 60), ("short", 12)))
+    rows, want = [], {}
+    for i in range(9):
+        changed = two.split()
+        changed[30] = f"{'abcdefghi'[i]}changed"
+        own = [prose(30, rng), short, " ".join(str(rng.randrange(1000)) for _ in range(30)), " ".join(changed)]
+        rows.append((i, "\n".join([*own, *([two] if i in (4, 7) else []), nine])))
+        want[i] = "\n".join([*own, *([two] if i == 4 else []), *([nine] if i == 0 else [])])
+    lost = prose(40, rng)
+    rows += [(None, "one line\n" + lost), (None, lost)]
+    got = line_dedup.dedup_lines(frame(spark, rows)).collect()
+    assert {r["doc_id"]: r["text"] for r in got if r["doc_id"] is not None} == want
+    assert sorted(r["text"] for r in got if r["doc_id"] is None) == sorted(t for i, t in rows if i is None)
+
+
 # 5 --------------------------------------------------------------------------
 
 
