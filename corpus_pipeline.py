@@ -28,8 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each class."""
-    return near_dedup.keep_representatives(docs.select(*COLUMNS)).select(*COLUMNS)
+    """Keeps the document with the least doc_id of each class, and no copy whose lines have all gone to the first one."""
+    return near_dedup.keep_representatives(docs.select(*COLUMNS).where(F.col("text").rlike(r"\S"))).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
