@@ -9,9 +9,9 @@ leftmost least hash of their 16-byte grams.  So windows can be dealt by anchor:
 2. Each text's anchors are dealt by hash, packed in blocks; an anchor that at
    least two different texts have is a candidate, and its texts are told.
 3. Texts with candidates deal the bytes around these anchors, at most 84 each, to
-   shards by hash.  A shard builds its suffix array by induced sorting, takes the
-   common prefixes of neighbouring windows, and the runs with 50 bytes in common
-   are the classes of equal windows.  The least doc_id of a class decides which
+   shards by hash.  A shard puts equal contexts in once, builds its suffix array by
+   induced sorting and the permuted common prefixes, and runs with 50 bytes in
+   common are the classes of equal windows.  The least doc_id of a class decides which
    of its windows are covered, and the covered byte ranges go back to the texts.
 
 Work is in arrays over bounded blocks; hot passages are sent once per block and
@@ -33,13 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import materialize, release_memory, text_of
-from cairn.llm.suffix_array import permuted_prefixes, suffix_array, words_at
+from cairn.llm.suffix_array import low_bytes, permuted_prefixes, suffix_array, words_at
 
 WIDTH, GRAM = 50, 16
 SPAN = WIDTH - GRAM + 1
 PIECE = 1_000_000  # windows of a text handled at once
 BLOCK = 24_000_000  # bytes of text whose anchors are dealt together
 SHARD = 4_000_000  # bytes of contexts in one suffix array, unless one anchor has more
+BUCKET = 64_000_000  # bytes of text whose anchors and contexts are a bucket's share
 NULL_ID = -(1 << 63)
 
 
@@ -138,11 +139,11 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def _deal_anchors(batches, count: int):
     """Blocks of (anchor, text) for the buckets; anchors that a block shows to be shared are told at once."""
-    seen: dict[int, None] = {}
-    hashes, owners, size = [], [], 0
+    seen: set[tuple] = set()
+    names, hashes, owners, size = [], [], [], 0
 
     def close():
-        h, t = np.concatenate(hashes), np.repeat(np.fromiter(seen, np.int64, len(seen)), owners)
+        h, t = np.concatenate(hashes), np.repeat(np.array(names, dtype=np.int64), owners)
         order = np.argsort(h, kind="stable")
         h, t = h[order], t[order]
         start = _runs(h)
@@ -160,13 +161,13 @@ def _deal_anchors(batches, count: int):
         key, text, wait, where = key[order], text[order], wait[order], where[order]
         begin = _runs(where)
         for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
-            names, index = np.unique(text[a:b], return_inverse=True)
-            rows.append((int(where[a]), False, _dump(np.diff(key[a:b], prepend=np.uint64(0)), names, index.astype(np.uint32), wait[a:b].view(np.uint8))))
+            known, index = np.unique(text[a:b], return_inverse=True)
+            rows.append((int(where[a]), False, _dump(np.diff(key[a:b], prepend=np.uint64(0)), known, index.astype(np.uint32), wait[a:b].view(np.uint8))))
         return _rows(rows, _BLOCK)
 
     for batch in batches:
-        signs = batch.column(0).to_pylist()
-        texts = batch.column(1)
+        signs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        texts = batch.column(2)
         for i, sign in enumerate(signs):
             if sign in seen:
                 continue
@@ -174,14 +175,15 @@ def _deal_anchors(batches, count: int):
             h = np.unique(anchors(raw)[0])
             if not len(h):
                 continue
-            seen[sign] = None
+            seen.add(sign)
+            names.append(sign[0])
             hashes.append(h)
             owners.append(len(h))
             size += len(raw)
             if size >= BLOCK:
                 yield close()
                 seen.clear()
-                hashes, owners, size = [], [], 0
+                names, hashes, owners, size = [], [], [], 0
     if hashes:
         yield close()
 
@@ -317,51 +319,52 @@ _RANGES = pa.schema([("sign", pa.int64()), ("doc_id", pa.int64()), ("ranges", pa
 
 
 def _distinct(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(one index of each distinct context, the number of each context's)."""
+    """(one index of each distinct context, the number of each context's): copies told by a hash and by all their bytes."""
     words = words_at(data)
-    one, two = size.astype(np.uint64), size.astype(np.uint64)
-    for j in range(0, int(size.max()), 8):
-        left = np.clip(size - j, 0, 8)
-        mask = np.where(left >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (np.minimum(left, 7).astype(np.uint64) * np.uint64(8))) - np.uint64(1))
-        w = words[np.minimum(begin + j, len(data))] & mask
-        one = (one ^ w) * np.uint64(0x9E3779B97F4A7C15)
-        one ^= one >> np.uint64(32)
-        two = (two + w) * np.uint64(0xC2B2AE3D27D4EB4F)
-        two ^= two >> np.uint64(29)
-    both = np.empty(len(size), dtype=[("a", np.uint64), ("b", np.uint64)])
-    both["a"], both["b"] = one, two
-    _, pick, inverse = np.unique(both, return_index=True, return_inverse=True)
-    return pick, inverse
-
-
-def covered_windows(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    h = size.astype(np.uint64)
+    steps = range(0, int(size.max()), 8)
+    part = lambda own, j: words[np.minimum(begin[own] + j, len(data))] & low_bytes(np.clip(size[own] - j, 0, 8))
+    every = np.arange(len(size))
+    for j in steps:
+        h = (h ^ part(every, j)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    order = np.argsort(h, kind="stable")
+    a, b = order[:-1], order[1:]
+    same = (h[a] == h[b]) & (size[a] == size[b])
+    alike = np.nonzero(same)[0]
+    for j in steps:
+        equal = part(a[alike], j) == part(b[alike], j)
+        same[alike[~equal]] = False
+        alike = alike[equal]
+    first = np.concatenate([[True], ~same])
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(first) - 1
+    return order[first], number
+
+
+def covered_windows(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For contexts in ``data``: of each of their windows, in order, the least doc that has its 50 bytes.
 
-    Where an anchor has one distinct context only, all its windows have the same
-    documents; the other contexts go through the suffix array.
+    Equal contexts are put in once.  Windows that are neighbours in the suffix
+    array are of one class while no common prefix between them is under 50.
     """
     pick, number = _distinct(data, begin, size)
     least = np.full(len(pick), np.iinfo(np.int64).max)
     np.minimum.at(least, number, doc)
-    windows = size[pick] - WIDTH + 1
-    w_start = np.cumsum(windows) - windows
-    result = np.repeat(least, windows)
-    _, inverse, times = np.unique(anchor[pick], return_inverse=True, return_counts=True)
-    mixed = np.nonzero(times[inverse] > 1)[0]
-    if len(mixed):
-        u_size, count = size[pick[mixed]], windows[mixed]
-        start = np.cumsum(u_size) - u_size
-        text = np.ascontiguousarray(data[np.repeat(begin[pick[mixed]] - start, u_size) + np.arange(int(u_size.sum()))])
-        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        place, target = np.repeat(start, count) + step, np.repeat(w_start[mixed], count) + step
-        window = np.full(len(text), -1, dtype=np.int64)
-        window[place] = np.arange(len(place))
-        order = suffix_array(text, WIDTH)
-        order = order[window[order] >= 0]
-        classes = np.nonzero(permuted_prefixes(words_at(text), order, WIDTH) < WIDTH)[0]
-        ranked = window[order]
-        owner = np.repeat(least[mixed], count)
-        result[target[ranked]] = np.repeat(np.minimum.reduceat(owner[ranked], classes), np.diff(np.concatenate([classes, [len(ranked)]])))
+    u_size = size[pick]
+    windows = u_size - WIDTH + 1
+    start, w_start = np.cumsum(u_size) - u_size, np.cumsum(windows) - windows
+    text = np.ascontiguousarray(data[np.repeat(begin[pick] - start, u_size) + np.arange(int(u_size.sum()))])
+    window = np.full(len(text), -1, dtype=np.int32)
+    window[np.repeat(start - w_start, windows) + np.arange(int(windows.sum()))] = np.arange(int(windows.sum()), dtype=np.int32)
+    order = suffix_array(text)
+    fresh = np.cumsum(permuted_prefixes(text, order, WIDTH)[order] < WIDTH, dtype=np.int32)
+    ranked = window[order]
+    fresh, ranked = fresh[ranked >= 0], ranked[ranked >= 0]
+    classes = _runs(fresh)
+    owner = np.repeat(least, windows)
+    result = np.empty(len(ranked), dtype=np.int64)
+    result[ranked] = np.repeat(np.minimum.reduceat(owner[ranked], classes), np.diff(np.concatenate([classes, [len(ranked)]])))
     count = windows[number]
     return result[np.repeat(w_start[number] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
 
@@ -394,8 +397,10 @@ def _cover(batches):
     for b in cuts:
         own = order[a:b]
         a = b
-        least = covered_windows(raw, begin[own], size[own], doc[own], h[own])
-        count = size[own] - WIDTH + 1
+        count = size[own]
+        at = np.cumsum(count) - count
+        least = covered_windows(raw[np.repeat(begin[own] - at, count) + np.arange(int(count.sum()))], at, count, doc[own])
+        count = count - WIDTH + 1
         owner = np.repeat(np.arange(len(own)), count)
         hit = least < doc[own][owner]
         if not hit.any():
@@ -449,11 +454,13 @@ def _finish(batches):
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, spans, kept_sha256, sign): the maximal removed byte runs of each document; ``sign`` is a hash of its text."""
-    count = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # shards: a bucket is a partition, so they are even
+    # a bucket is a partition: as many as keep each one small, whatever the size of the table
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_of().alias("text")).withColumn("sign", F.xxhash64("text")).withColumn("second", F.xxhash64(F.lit(7), "text"))
     firsts = rows.groupBy("sign", "second").agg(F.min("doc_id").alias("first")).groupBy("sign").agg(F.collect_list(F.struct("second", "first")).alias("firsts"))
     block = "bucket int, told boolean, blob binary"
-    dealt = rows.where(F.octet_length("text") >= WIDTH).select("sign", "text").mapInArrow(lambda b: _deal_anchors(b, count), block)
+    dealt = rows.where(F.octet_length("text") >= WIDTH).select("sign", "second", "text").mapInArrow(lambda b: _deal_anchors(b, count), block)
     shared = dealt.repartitionById(count, F.col("bucket")).mapInArrow(lambda b: _shared_anchors(b, count), block)
     told = shared.repartitionById(count, F.col("bucket")).mapInArrow(_by_text, "sign long, own binary")
     known = materialize(firsts.join(told, "sign", "left"), "anchors")
