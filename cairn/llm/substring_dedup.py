@@ -39,7 +39,7 @@ WIDTH, GRAM = 50, 16
 SPAN = WIDTH - GRAM + 1
 PIECE = 1_000_000  # windows of a text handled at once
 BLOCK = 24_000_000  # bytes of text whose anchors are dealt together
-SHARD = 4_000_000  # bytes of contexts in one suffix array, unless one anchor has more
+SHARD = 1_000_000  # bytes of contexts in one suffix array, unless one anchor has more
 BUCKET = 64_000_000  # bytes of text whose anchors and contexts are a bucket's share
 NULL_ID = -(1 << 63)
 
