@@ -37,7 +37,7 @@ from cairn.llm.suffix_array import low_bytes, permuted_prefixes, suffix_array, w
 
 WIDTH, GRAM = 50, 16
 SPAN = WIDTH - GRAM + 1
-PIECE = 1_000_000  # windows of a text handled at once
+PLACE, PIECE = 17, 100_000  # windows handled at once, and the bits of a place among them
 BLOCK = 24_000_000  # bytes of text whose anchors are dealt together
 SHARD = 1_000_000  # bytes of contexts in one suffix array, unless one anchor has more
 BUCKET = 64_000_000  # bytes of text whose anchors and contexts are a bucket's share
@@ -56,29 +56,45 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def _leftmost_least(h: np.ndarray) -> np.ndarray:
-    """Place of the leftmost least of each SPAN neighbours."""
-    value, place, span = h, np.arange(len(h)), 1
+    """Place of the leftmost least of each SPAN neighbours, by the upper bits of the hash; the lower ones take the place."""
+    low = np.uint64((1 << PLACE) - 1)
+    value, span = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1
     while span < SPAN:
         step = min(span, SPAN - span)
-        right = value[step:] < value[:-step]
-        place = np.where(right, place[step:], place[:-step])
         value = np.minimum(value[:-step], value[step:])
         span += step
-    return place
-
-
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, last window) of each run of windows with one anchor."""
-    data = np.frombuffer(raw, dtype=np.uint8)
-    windows = len(data) - WIDTH + 1
-    out = []
-    for a in range(0, max(windows, 0), PIECE):
-        h = gram_hashes(data[a : min(a + PIECE, windows) + WIDTH - 1])
-        at = _leftmost_least(h)
-        start = np.concatenate([[0], np.nonzero(at[1:] != at[:-1])[0] + 1])
-        out.append((h[at[start]], a + start, a + np.concatenate([start[1:] - 1, [len(at) - 1]])))
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return (value & low).astype(np.int64)
+
+
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window, last window, text) of each run of windows with one anchor, text by text.
+
+    Short texts are read together as one string; windows that cross from one into
+    the next are left out.  Long ones are read in overlapping pieces.
+    """
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    a = 0
+    while a < len(texts):
+        b, total = a + 1, size[a]
+        while b < len(texts) and total + size[b] <= PIECE:
+            total += size[b]
+            b += 1
+        base = np.cumsum(size[a:b]) - size[a:b]
+        raw = np.frombuffer(texts[a] if b == a + 1 else b"".join(texts[a:b]), dtype=np.uint8)
+        for low in range(0, max(len(raw) - WIDTH + 1, 0), PIECE):
+            h = gram_hashes(raw[low : low + PIECE + WIDTH - 1])
+            at = _leftmost_least(h)
+            owner = np.searchsorted(base, np.arange(low, low + len(at)), side="right") - 1 if b == a + 1 else np.repeat(np.arange(b - a), size[a:b])[: len(at)]
+            whole = np.nonzero(np.arange(low + WIDTH, low + WIDTH + len(at)) <= (base + size[a:b])[owner])[0]
+            if not len(whole):
+                continue
+            place = at[whole]
+            start = np.concatenate([[0], np.nonzero(place[1:] != place[:-1])[0] + 1])
+            of = owner[whole[start]]
+            last = whole[np.concatenate([start[1:] - 1, [len(whole) - 1]])]
+            out.append((h[place[start]], low + whole[start] - base[of], low + last - base[of], a + of))
+        a = b
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -140,12 +156,15 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def _deal_anchors(batches, count: int):
     """Blocks of (anchor, text) for the buckets; anchors that a block shows to be shared are told at once."""
     seen: set[tuple] = set()
-    names, hashes, owners, size = [], [], [], 0
+    names, raws, size = [], [], 0
 
     def close():
-        h, t = np.concatenate(hashes), np.repeat(np.array(names, dtype=np.int64), owners)
+        h, _, _, own = anchors(raws)
+        t = np.array(names, dtype=np.int64)[own]
         order = np.argsort(h, kind="stable")
         h, t = h[order], t[order]
+        once = np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])])  # texts come in order
+        h, t = h[once], t[once]
         start = _runs(h)
         low, high = np.minimum.reduceat(t, start), np.maximum.reduceat(t, start)
         shared = low != high
@@ -171,20 +190,15 @@ def _deal_anchors(batches, count: int):
         for i, sign in enumerate(signs):
             if sign in seen:
                 continue
-            raw = texts[i].as_py().encode()
-            h = np.unique(anchors(raw)[0])
-            if not len(h):
-                continue
             seen.add(sign)
             names.append(sign[0])
-            hashes.append(h)
-            owners.append(len(h))
-            size += len(raw)
+            raws.append(texts[i].as_py().encode())
+            size += len(raws[-1])
             if size >= BLOCK:
                 yield close()
                 seen.clear()
-                names, hashes, owners, size = [], [], [], 0
-    if hashes:
+                names, raws, size = [], [], 0
+    if raws:
         yield close()
 
 
@@ -278,16 +292,19 @@ _CONTEXT = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 def _deal_contexts(batches, count: int):
     """Bytes around the candidate anchors, in blocks for the shards."""
     release_memory()
-    hold: list[tuple] = []
-    size = 0
+    raws, owns, ids, signs, size = [], [], [], [], 0
 
     def close():
-        h = np.concatenate([x[0] for x in hold])
-        doc = np.repeat(np.arange(len(hold)), [len(x[0]) for x in hold])
-        start, length = np.concatenate([x[1] for x in hold]), np.concatenate([x[2] for x in hold])
-        base = np.cumsum([0] + [len(x[3]) for x in hold])
-        raw = np.frombuffer(b"".join(x[3] for x in hold), dtype=np.uint8)
-        ids, signs = np.array([x[4] for x in hold]), np.array([x[5] for x in hold])
+        h, start, length, doc = anchors(raws)
+        length += WIDTH - start
+        own = np.concatenate(owns).astype(np.int64) | np.repeat(np.arange(len(owns)), [len(x) for x in owns]) << 32
+        own.sort()
+        key = _short(h).astype(np.int64) | doc << 32
+        pick = own[np.minimum(np.searchsorted(own, key), len(own) - 1)] == key
+        h, start, length, doc = h[pick], start[pick], length[pick], doc[pick]
+        base = np.cumsum([0] + [len(x) for x in raws])
+        raw = np.frombuffer(b"".join(raws), dtype=np.uint8)
+        of, sign = np.array(ids), np.array(signs)
         where = _bucket(h, count)
         order = np.lexsort((h, where))
         where = where[order]
@@ -297,21 +314,20 @@ def _deal_contexts(batches, count: int):
             docs, index = np.unique(doc[own], return_inverse=True)
             size = length[own]
             flat = np.repeat(base[doc[own]] + start[own] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-            rows.append((int(where[a]), _dump(h[own], ids[docs], signs[docs], index.astype(np.uint32), start[own], size.astype(np.uint8), raw[flat])))
+            rows.append((int(where[a]), _dump(h[own], of[docs], sign[docs], index.astype(np.uint32), start[own], size.astype(np.uint8), raw[flat])))
         return _rows(rows, _CONTEXT)
 
     for batch in batches:
         for doc, sign, text, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            raw = _unzip(text)
-            h, first, last = anchors(raw)
-            pick = np.isin(_short(h), np.frombuffer(own, dtype=np.uint32))
-            if pick.any():
-                hold.append((h[pick], first[pick], last[pick] - first[pick] + WIDTH, raw, doc, sign))
-                size += len(raw)
+            raws.append(_unzip(text))
+            owns.append(np.frombuffer(own, dtype=np.uint32))
+            ids.append(doc)
+            signs.append(sign)
+            size += len(raws[-1])
             if size >= BLOCK:
                 yield close()
-                hold, size = [], 0
-    if hold:
+                raws, owns, ids, signs, size = [], [], [], [], 0
+    if raws:
         yield close()
 
 

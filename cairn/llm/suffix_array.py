@@ -79,8 +79,12 @@ def induce(data: np.ndarray, small: np.ndarray, seeds: np.ndarray) -> np.ndarray
 
 def words_at(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on as one number, zeros behind the end."""
-    padded = np.concatenate([data, np.zeros(80, dtype=np.uint8)])
-    return np.lib.stride_tricks.as_strided(padded, shape=(len(data) + 72, 8), strides=(1, 1)).copy().view("<u8").ravel()
+    n = len(data) + 72
+    padded = np.concatenate([data, np.zeros(96, dtype=np.uint8)])
+    out = np.empty(-(-n // 8) * 8, dtype="<u8")
+    for k in range(8):
+        out[k::8] = padded[k : k + len(out)].view("<u8")
+    return out[:n]
 
 
 def _names(data: np.ndarray, sorted_lms: np.ndarray, length: np.ndarray) -> np.ndarray:

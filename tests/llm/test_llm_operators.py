@@ -217,12 +217,13 @@ def test_a_passage_in_every_document(spark, monkeypatch):
 
 
 def test_long_texts_are_cut_without_effect(monkeypatch):
-    raw = (prose(400) + "z" * 300).encode()
-    whole = substring_dedup.anchors(raw)
+    texts = [prose(n).encode() for n in (400, 3, 0, 30, 9, 90, 8)] + [b"", b"z" * 300, b"x" * 50]
+    expand = lambda x: sorted((t, w, h) for h, a, b, t in zip(*(c.tolist() for c in x), strict=True) for w in range(a, b + 1))
+    whole = expand(substring_dedup.anchors(texts))
+    assert [(t, w) for t, w, _ in whole] == [(t, w) for t, x in enumerate(texts) for w in range(len(x) - 49)]
+    assert whole == sorted((k, w, h) for k, x in enumerate(texts) for _, w, h in expand(substring_dedup.anchors([x])))
     monkeypatch.setattr(substring_dedup, "PIECE", 500)
-    parts = substring_dedup.anchors(raw)
-    expand = lambda x: [h for h, a, b in zip(*x, strict=True) for _ in range(a, b + 1)]
-    assert expand(whole) == expand(parts) and len(expand(whole)) == len(raw) - 49
+    assert expand(substring_dedup.anchors(texts)) == whole
 
 
 # 4 --------------------------------------------------------------------------
