@@ -148,16 +148,17 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, and its likeness to its edited text and to the next document's.
 
-    One range shuffle by doc_id brings neighbours together.  What crosses a
+    One range shuffle by doc_id and hash brings neighbours together.  What crosses a
     partition's edge, its first and last document, is written with the rows and
     joined afterwards; the last document of all meets the first (alone: itself).
-    Equal ids are ordered by text; null ids come first.
+    Equal ids are ordered by a hash of their text; null ids come first.
     """
     edge = [("kind", pa.string()), ("part", pa.int32()), ("text", pa.string())]
     schema = pa.schema([*_ROW, *edge])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = rows.withColumn("sign", F.xxhash64("text")).repartitionByRange(n, "doc_id", "sign")  # many rows of one id are no one task's
+    dealt = ranged.sortWithinPartitions("doc_id", "sign", "text").select("doc_id", "text")
 
     def run(batches):
         from pyspark import TaskContext

@@ -50,8 +50,8 @@ class BiGRU:
         self.p["o"] = (g.standard_normal((2 * h, classes)) / np.sqrt(h)).astype(np.float32)
         self.p["c"] = np.zeros(classes, dtype=np.float32)
 
-    def _run(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States (T, B, H) over bytes x (T, B) in the order given."""
+    def _run(self, x: np.ndarray, d: str, keep: list | None = None, rest: list[int] | None = None) -> np.ndarray:
+        """States (T, B, H) over bytes x (T, B) in the order given; ``rest[t]`` leading lanes have not begun at t."""
         table, u, h = self.p[f"x{d}"], self.p[f"u{d}"], self.hidden
         state = np.zeros((x.shape[1], h), dtype=np.float32)
         out = np.empty((*x.shape, h), dtype=np.float32)
@@ -74,13 +74,20 @@ class BiGRU:
             np.subtract(state, cand, out=new)
             new *= update
             new += cand
+            if rest is not None and rest[t]:
+                new[: rest[t]] = 0
             state = new
         return out
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """Log probabilities (T, B, C) of each position of bytes x (T, B)."""
+    def positions(self, x: np.ndarray, length: np.ndarray | None = None) -> np.ndarray:
+        """Log probabilities (T, B, C) of each position of bytes x (T, B).
+
+        With ``length``, not falling by lane, a lane is read backwards from its own
+        end, so what is beside it and how wide the batch is has no effect.
+        """
         f = self._run(x, "f")
-        b = self._run(x[::-1], "b")[::-1]
+        rest = None if length is None else np.searchsorted(length, np.arange(len(x))[::-1], side="right").tolist()
+        b = self._run(x[::-1], "b", rest=rest)[::-1]
         z = f @ self.p["o"][: self.hidden]
         z += b @ self.p["o"][self.hidden :]
         z += self.p["c"]
@@ -174,7 +181,7 @@ class Model:
                 low = max(0, s - OVERLAP)
                 piece = r[low : s - OVERLAP + wide]
                 x[k, OVERLAP - (s - low) : OVERLAP - (s - low) + len(piece)] = piece
-            z = self.net.positions(np.ascontiguousarray(x.T))[OVERLAP:-OVERLAP]
+            z = self.net.positions(np.ascontiguousarray(x.T), size[own] + 2 * OVERLAP)[OVERLAP:-OVERLAP]
             z[np.arange(len(z))[:, None] >= size[own][None, :]] = 0
             np.add.at(total, owner[own], z.sum(axis=0))
         total /= np.maximum(length, 1)[:, None]
@@ -182,7 +189,8 @@ class Model:
         p = np.exp(total)
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
-        return [self.languages[i] for i in best.tolist()], p[np.arange(len(p)), best].tolist()
+        # products of another shape are summed in another order: digits beyond the fourth are not the text's own
+        return [self.languages[i] for i in best.tolist()], np.round(p[np.arange(len(p)), best], 4).tolist()
 
 
 def fit(docs: DataFrame, *, per_language: int = 300, windows_per_doc: int = 4, window: int = 64, hidden: int = 8, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 0) -> Model:

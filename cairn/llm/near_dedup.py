@@ -20,9 +20,13 @@ The step is exact, so classes are the components of all similar pairs that agree
 a sketch.  It runs in blocks: shingles are counted in ``CELLS`` cells, and only
 pairs whose cells can hold enough common shingles are compared word by word.
 
+A node is a text, told by two hashes, whatever the ids of its rows; copies meet their
+node by hash and a salt, so a large group of copies is not one task's.
+
 Cases: null and empty texts are equal texts, one class; texts without a word are
 linked to equal texts only; a text under five words has one shingle, all its
-words; rows with equal doc_id are one document: their texts share a class.
+words; every row counts by its text, so rows with equal or null doc_ids are in one
+class only if their texts are; a class without any id has the class_id null.
 Extra columns are ignored.
 """
 
@@ -142,26 +146,44 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Edit distance of two word sequences if it is at most ``most``, else None.
 
     Only the diagonals within the current distance are followed, each to the
-    furthest place it reaches.
+    furthest place it reaches, and of them only those from which the last one can
+    still be reached with the edits that are left.
     """
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return None
-    goal, far = n - m, {0: _reach(a, b, 0, 0)}
-    if goal == 0 and far[0] == n:
+    goal, start = n - m, _reach(a, b, 0, 0)
+    if goal == 0 and start == n:
         return 0
+    edge = np.iinfo(np.int32).min // 2
+    low, far = 0, np.array([start], dtype=np.int32)  # furthest places in a, by diagonal from low on
     for e in range(1, most + 1):
-        new = {}
-        for d in range(max(-e, -m), min(e, n) + 1):
-            x = max(far.get(d, -2) + 1, far.get(d - 1, -2) + 1, far.get(d + 1, -2))
-            x = min(x, n, m + d)
-            if x < max(0, d):
-                continue
-            x += _reach(a, b, x, x - d)
-            if d == goal and x == n:
-                return e
-            new[d] = x
-        far = new
+        left = most - e
+        first, last = max(-e, -m, goal - left), min(e, n, goal + left)
+        size = last - first + 1
+        old = np.full(size + 2, edge, dtype=np.int32)  # diagonals first - 1 to last + 1
+        i, j = max(low, first - 1), min(low + len(far) - 1, last + 1)
+        if i <= j:
+            old[i - first + 1 : j - first + 2] = far[i - low : j - low + 1]
+        d = np.arange(first, last + 1, dtype=np.int32)
+        new = np.maximum(np.maximum(old[1:-1], old[:-2]) + 1, old[2:])
+        np.minimum(new, np.minimum(n, m + d), out=new)
+        new[new < np.maximum(0, d)] = edge
+        alive = np.nonzero((new >= 0) & (new < n) & (new - d < m))[0]
+        while len(alive):
+            x = new[alive]
+            alive = alive[a[x] == b[x - d[alive]]]
+            if len(alive) <= 4:
+                for k in alive.tolist():
+                    x = int(new[k])
+                    new[k] = x + _reach(a, b, x, x - int(d[k]))
+                break
+            new[alive] += 1
+            x = new[alive]
+            alive = alive[(x < n) & (x - d[alive] < m)]
+        if first <= goal <= last and new[goal - first] == n:
+            return e
+        low, far = first, new
     return None
 
 
@@ -173,33 +195,46 @@ def similar(a: np.ndarray, b: np.ndarray, like: float = LIKE) -> bool:
     return banded_distance(a, b, int((1 - like) * longest + 1e-9)) is not None
 
 
-def sketch_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, keys): two hashes that tell texts apart, and the sketches."""
-    schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+#: Parts of a group of copies when its rows meet their node.
+SALTS = 256
+NO_ID = -(1 << 63)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, of, h1, h2, text): ``of`` is the id, or a number for null; two hashes tell texts apart."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return rows.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("of"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"), "text")
+
+
+def sketch_table(texts: DataFrame) -> DataFrame:
+    """(doc_id, of, h1, h2, keys): the sketches of each text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         release_memory()
         codes = Codes()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(ids), 500):
-                raw = [xxhash.xxh3_128_digest(t) for t in texts[at : at + 500]]
-                h = np.frombuffer(b"".join(raw), dtype=np.int64).reshape(-1, 2)
-                seen: dict[bytes, list] = {}
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                seen: dict[tuple, list] = {}
                 keys = []
-                for r, t in zip(raw, texts[at : at + 500], strict=True):
-                    if r not in seen:
-                        seen[r] = sketches(codes.of(t))
-                    keys.append(seen[r])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 500], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(keys, schema.field(3).type)], schema=schema)
+                for *h, t in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                    if tuple(h) not in seen:
+                        seen[tuple(h)] = sketches(codes.of(t))
+                    keys.append(seen[tuple(h)])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(keys, schema.field(4).type)], schema=schema)
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, h1 long, h2 long, keys array<long>")
+    return texts.mapInArrow(run, "doc_id long, of long, h1 long, h2 long, keys array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, like: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
-    left = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    both = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, like: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar."""
+    known = pairs
+    for side in "ab":
+        known = known.join(nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("h1", "h2", "of"))), side)
+    for side in "ba":
+        known = known.join(texts.select(*(F.col(c).alias(f"{c}_{side}") for c in ("h1", "h2", "of")), F.col("text").alias(f"t{side}")), [f"{c}_{side}" for c in ("h1", "h2", "of")])
+    both = known.select("a", "b", "ta", "tb")
 
     def run(batches):
         release_memory()
@@ -263,25 +298,41 @@ class Block:
                 yield self.nodes[i], node
 
 
-def near_duplicates(docs: DataFrame, *, like: float = LIKE) -> DataFrame:
-    """(doc_id, class_id): class_id is the least doc_id of the document's class."""
-    table = materialize(sketch_table(docs), "sketches")
-    node = table.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-    member = materialize(table.select("doc_id", "h1", "h2").join(node, ["h1", "h2"]).select("doc_id", "node").distinct(), "members")
-    nodes = table.join(node, (table["h1"] == node["h1"]) & (table["h2"] == node["h2"]) & (table["doc_id"] == node["node"])).select("node", "keys")
-    rows = nodes.select("node", F.explode("keys").alias("key"))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text_of().alias("text"))
-    hub = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub <> most").select("key", "hub")
-    bucket = materialize(rows.join(hub, "key").select("key", "hub", "node").distinct(), "buckets")
-    star = materialize(verify(bucket.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), texts, like), "star")
-    # texts that share a doc_id are one document
-    several = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    root = components(star.unionByName(member.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b"))))
-    for step in (lambda known: verify(_second_hub(known, star), texts, like), lambda known: _complete(known, texts, like)):
-        found = materialize(step(_open(bucket, root)), "links")
+def _least(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``rows`` with, in ``value``, its least of all rows with their keys; in parts by ``salt``, so none is large."""
+    part = rows.groupBy(*keys, "salt").agg(F.min(value).alias("_part"))
+    whole = part.groupBy(*keys).agg(F.min("_part").alias("_least"))
+    return rows.drop(value).join(part.join(whole, keys).select(*keys, "salt", F.col("_least").alias(value)), [*keys, "salt"])
+
+
+def _classes(docs: DataFrame, like: float) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, of, h1, h2, salt) of all rows, (h1, h2, of, node, root, class_id) of all texts)."""
+    texts = _texts(docs)
+    table = materialize(sketch_table(texts), "sketches")
+    if not table.groupBy("h1", "h2", "of").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():  # rows equal in id and text
+        texts = texts.groupBy("h1", "h2", "of").agg(F.first("text").alias("text"))
+    rows = table.select("doc_id", "of", "h1", "h2", F.pmod(F.xxhash64("of", "h1"), F.lit(SALTS)).alias("salt"))
+    part = rows.groupBy("h1", "h2", "salt").agg(F.min("doc_id").alias("first"))
+    node = part.groupBy("h1", "h2").agg(F.min("first").alias("first"))
+    nodes = materialize(node.select("h1", "h2", "first", F.coalesce("first", F.lit(NO_ID)).alias("of"), F.monotonically_increasing_id().alias("node")), "nodes")
+    keys = table.join(nodes, ["h1", "h2", "of"]).select("node", F.explode("keys").alias("key"))
+    hub = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub <> most").select("key", "hub")
+    bucket = materialize(keys.join(hub, "key").select("key", "hub", "node").distinct(), "buckets")
+    star = materialize(verify(bucket.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, texts, like), "star")
+    root = components(star)
+    for step in (lambda known: verify(_second_hub(known, star), nodes, texts, like), lambda known: _complete(known, nodes, texts, like)):
+        found = materialize(step(_open(bucket, root)).distinct(), "links")
         if not found.isEmpty():
             root = components(root.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found))
-    return member.join(root.withColumnRenamed("id", "node"), "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    known = nodes.join(root.withColumnRenamed("id", "node"), "node", "left").select("h1", "h2", "of", "node", F.coalesce("root", "node").alias("root"), F.pmod("node", F.lit(SALTS)).alias("salt"), F.col("first").alias("class_id"))
+    return rows, materialize(_least(known, ["root"], "class_id"), "classes")
+
+
+def near_duplicates(docs: DataFrame, *, like: float = LIKE) -> DataFrame:
+    """(doc_id, class_id) for each row: class_id is the least doc_id of its class."""
+    rows, known = _classes(docs, like)
+    salted = rows.select("h1", "h2", "salt").distinct().join(known.select("h1", "h2", "class_id"), ["h1", "h2"])
+    return rows.join(salted, ["h1", "h2", "salt"]).select("doc_id", "class_id")
 
 
 def _open(bucket: DataFrame, root: DataFrame) -> DataFrame:
@@ -299,13 +350,14 @@ def _second_hub(known: DataFrame, star: DataFrame) -> DataFrame:
     return met.select(F.least("node", "second.node").alias("a"), F.greatest("node", "second.node").alias("b")).distinct()
 
 
-def _complete(known: DataFrame, texts: DataFrame, like: float) -> DataFrame:
+def _complete(known: DataFrame, nodes: DataFrame, texts: DataFrame, like: float) -> DataFrame:
     """Links (a, b) of every two components of a bucket between which any is.
 
     The nodes outside its largest component are dealt to blocks, all its nodes
     to parts, and each part meets each block.
     """
-    text = texts.withColumnRenamed("doc_id", "node")
+    open_ = nodes.join(known.select("node").distinct(), "node").select("node", "h1", "h2", "of")
+    text = materialize(texts.join(open_, ["h1", "h2", "of"]).select("node", "text"), "texts")
     sized = known.join(text.select("node", F.length("text").alias("size")), "node")
     largest = sized.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).groupBy("key").agg(F.max(F.struct("n", "root", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
     blocks = F.ceil(F.greatest((F.col("n") - F.col("top.n")) / BLOCK, (F.col("size") - F.col("top.size")) / BLOCK_BYTES, F.lit(1.0)))
@@ -335,9 +387,12 @@ def _complete(known: DataFrame, texts: DataFrame, like: float) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame, *, like: float = LIKE) -> DataFrame:
-    """The rows of ``docs``, all columns: of each class the document with the least doc_id, once."""
-    found = near_duplicates(docs, like=like)
-    kept = found.where("doc_id = class_id").select(F.col("doc_id").alias("_kept"))
-    out = docs.join(kept, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == kept["_kept"], "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id"])
+    """The rows of ``docs``, all columns: of each class one row, of its text with the least doc_id."""
+    _, known = _classes(docs, like)
+    # of a class, the text with the least id; of texts that share it, the least node; a class without ids has no least
+    least = _least(known.withColumn("low", F.when(F.col("of").eqNullSafe(F.coalesce("class_id", F.lit(NO_ID))), F.col("node"))), ["root"], "low").where("low = node").select("h1", "h2", F.col("of").alias("_of"))
+    packed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_of"), F.xxhash64(text_of()).alias("h1"), F.xxhash64(F.lit(7), text_of()).alias("h2"))
+    met = packed.join(least, ["h1", "h2", "_of"], "left_semi")
+    # what is left are rows equal in id and text: one of them
+    single = met.groupBy("h1", "h2", "_of").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    return met.select("row.*") if single else met.groupBy("h1", "h2", "_of").agg(F.first("row").alias("row")).select("row.*")

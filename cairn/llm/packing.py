@@ -6,6 +6,8 @@ each, get prefix sums; adding them gives every document its global offset.
 Pass two cuts at the multiples of the sequence length: a document that crosses
 a boundary leaves a record on both sides.  Only the last sequence can be short.
 
+Control strings of the tokenizer in a text give their ids, as encoding the whole text does.
+
 Cases: null text is empty; an empty text is the end id alone; equal rows are
 packed each; a text of any length is one document in many pieces; an empty table
 gives no pieces.  Extra columns are ignored.
@@ -13,6 +15,7 @@ gives no pieces.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +47,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        # texts with a control string of the tokenizer are encoded as they are
+        special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = "(?i)" + "|".join(special) if special else None
         vocabulary = self.tok.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
@@ -90,6 +95,16 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each with ``end``; where each starts, and the end of all)."""
+        marked = pc.match_substring_regex(texts, self.special).to_numpy(zero_copy_only=False) if self.special else np.zeros(len(texts), dtype=bool)
+        if not marked.any():
+            return self._encode(texts, end)
+        flat, edge = self._encode(pc.if_else(pa.array(marked), "", texts), end)
+        tail = np.array(end, dtype="<u4").tobytes()
+        parts = [self._whole(texts[i].as_py()) + tail if m else flat[edge[i] : edge[i + 1]].tobytes() for i, m in enumerate(marked.tolist())]
+        return np.frombuffer(b"".join(parts), dtype="<u4"), np.cumsum([0] + [len(p) // 4 for p in parts])
+
+    def _encode(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without a control string."""
         split = pc.ascii_split_whitespace(texts)  # other white space stays inside words, which then are taken whole
         edge = split.offsets.to_numpy().astype(np.int64)
         edge -= edge[0]

@@ -82,12 +82,13 @@ outcomes AS (
 counted AS (
   SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS b
   FROM rows LEFT JOIN outcomes USING (page_id) GROUP BY host),
+named AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS bare FROM counted),
 parted AS (
-  SELECT *, CASE WHEN len(string_split(host, '.')) < 2 THEN host ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS two FROM counted),
+  SELECT *, CASE WHEN len(string_split(bare, '.')) < 2 THEN bare ELSE array_to_string(string_split(bare, '.')[-2:], '.') END AS two FROM named),
 hosts AS (
   SELECT host, n, b,
-    CASE WHEN two IN ({_SUFFIXES}) THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE two END AS domain,
-    CASE WHEN two IN ({_SUFFIXES}) THEN two ELSE string_split(host, '.')[-1] END AS suffix
+    CASE WHEN two IN ({_SUFFIXES}) THEN array_to_string(string_split(bare, '.')[-3:], '.') ELSE two END AS domain,
+    CASE WHEN two IN ({_SUFFIXES}) THEN two ELSE string_split(bare, '.')[-1] END AS suffix
   FROM parted),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM domains GROUP BY ALL),

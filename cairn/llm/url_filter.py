@@ -2,10 +2,11 @@
 
 Labelled page outcomes are counted per host, registered domain and suffix.
 Each level's beta prior takes its mean from the level above and its strength
-from the spread of the rates at its own level (method of moments), so a host
-with few labels leans on its domain and a host with many stands for itself.
-A host is blocked when the lower bound of its posterior rate of bad pages is
-above a tolerance; an explicit rule that fits the url overrides this.
+from the spread of the rates at its own level (method of moments, held within 2
+and 200 labels), so a host with few labels leans on its domain and a host with many
+stands for itself.  A host is blocked when the lower bound of its posterior rate of
+bad pages, by the normal approximation, is above a tolerance; an explicit rule that
+fits the url overrides this.
 
 Cases: null urls and urls without ``://`` have host and path ``''`` and share
 one reputation; a page with several labels counts each; labels that are null
@@ -21,7 +22,13 @@ from pyspark.sql import functions as F
 from cairn.llm.common import materialize
 
 #: Public suffixes of two labels; fixed values.
-TWO_LABEL_SUFFIXES = ["ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.uk"]
+TWO_LABEL_SUFFIXES = [
+    "ac.jp", "ac.uk", "blogspot.com", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za",
+    "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph",
+    "com.pk", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "github.io", "gitlab.io",
+    "go.jp", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "ne.jp", "net.au", "net.br", "net.cn", "nhs.uk", "or.jp",
+    "or.kr", "org.au", "org.br", "org.cn", "org.in", "org.nz", "org.uk", "org.za", "pages.dev", "sch.uk", "web.app",
+]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -34,6 +41,11 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, URL_PARTS, 2), F.lit(""))
 
 
+def without_port(host: Column) -> Column:
+    """The host as reputation reads it: a port is no part of its names."""
+    return F.regexp_replace(host, ":[0-9]*$", "")
+
+
 def suffix_of(host: Column) -> Column:
     two = F.substring_index(host, ".", -2)
     return F.when(two.isin(TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
@@ -63,7 +75,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, *, z: float = 1.645)
     """
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     labelled = pages.join(outcomes.where(F.col("bad").isNotNull()), "page_id").groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("b"))
-    level = materialize(hosts.join(labelled, "host", "left").select("host", "pages", F.coalesce("n", F.lit(0.0)).alias("n"), F.coalesce("b", F.lit(0.0)).alias("b"), domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")), "hosts")
+    level = materialize(hosts.join(labelled, "host", "left").select("host", "pages", F.coalesce("n", F.lit(0.0)).alias("n"), F.coalesce("b", F.lit(0.0)).alias("b"), domain_of(without_port(F.col("host"))).alias("domain"), suffix_of(without_port(F.col("host"))).alias("suffix")), "hosts")
     domain = level.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     suffix = domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     s_host, n_all, b_all = _spread(level)
@@ -102,7 +114,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: DataFrame, *, tole
     """
     rows = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     fame = host_reputation(rows.select("page_id", "host"), outcomes.select("page_id", "bad"), z=z)
-    fame = fame.join(host_rules(fame.select("host"), rules), "host", "left").select("host", "bad_mean", "bad_low", "rules")
+    # written, so that its size is known when the pages are joined: small enough it is sent to all tasks, else hot hosts are split
+    fame = materialize(fame.join(host_rules(fame.select("host"), rules), "host", "left").select("host", "bad_mean", "bad_low", "rules"), "fame")
     best = F.array_max(F.transform(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])), lambda r: F.struct(r["size"].alias("size"), r["rule"].alias("rule"), r["action"].alias("action"))))
     return (
         rows.join(fame, "host")

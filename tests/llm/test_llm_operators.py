@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -59,8 +60,8 @@ def test_edge_cases_run_on_every_operator(spark):
     n = {}
     for name, out in everything(spark, frame(spark, EDGE)):
         n[name] = out.count()
-    assert n["fingerprint"] == n["fingerprints"] == n["substrings"] == n["remove"] == n["lines"] == n["language"] == len(EDGE)
-    assert n["near"] == len({i for i, _ in EDGE})
+    assert n["fingerprint"] == n["fingerprints"] == n["substrings"] == n["remove"] == n["lines"] == n["language"] == n["near"] == len(EDGE)
+    assert n["representatives"] == len({t or "" for _, t in EDGE})
     for name, out in everything(spark, spark.createDataFrame([], DOCS)):
         assert out.count() == 0, name
 
@@ -106,8 +107,7 @@ def test_fingerprint_query_against_loop(spark):
 
 def test_word_encoder_equals_whole_texts():
     tok = Tokenizer.from_file(WORD_BPE)
-    tok.encode_special_tokens = True
-    texts = ["", "a\x1cb", "ΑΣ ΣΑΣ. don't it's <|endoftext|>x", "İstanbul ǅ ﬁ ⅷ", "日本語 x\u0085y z", "a.b.c|d *** ||| x%", prose(50) + ".,"]
+    texts = ["", "a\x1cb", "ΑΣ ΣΑΣ. don't it's <|endoftext|>x", "a <|endoftext|> b", "<|startoftext|><|ENDOFTEXT|>", "x<|endoftext|>. <|endoftext|", "<| endoftext |> <|", "İstanbul ǅ ﬁ ⅷ", "日本語 x\u0085y z", "a.b.c|d *** ||| x%", prose(50) + ".,"]
     texts += ["".join(chr(RNG.choice([RNG.randrange(32, 127), RNG.randrange(0x80, 0x3000)])) for _ in range(40)) for _ in range(300)]
     import pyarrow as pa
 
@@ -493,6 +493,21 @@ def test_long_text_runs_in_segments():
     assert model.predict([text, b"x", text])[1][0] == model.predict([text])[1][0]
 
 
+def test_predictions_do_not_depend_on_the_batch():
+    rng = random.Random(47)
+    forms = {"aa": "abcde", "bb": "abcxy", "cc": "cdexy"}
+    net = language_id.BiGRU(8, 3, 0)
+    x = np.stack([np.frombuffer("".join(rng.choice(forms[k]) for _ in range(40)).encode(), dtype=np.uint8) for k in list(forms) * 60])
+    net.train(x, np.array([0, 1, 2] * 60), epochs=4, batch=32, rate=0.02)
+    model = language_id.Model(list(forms), net)
+    texts = ["".join(rng.choice("abcdexy ") for _ in range(rng.choice([1, 2, 3, 40, 223, 224, 225, 500]))).encode() for _ in range(120)]
+    alone = [tuple(v[0] for v in model.predict([t])) for t in texts]
+    for beside in ([], [b"a" * 224], [b"b" * 700] * 3):
+        names, scores = model.predict([*texts, *beside])
+        assert names[: len(texts)] == [n for n, _ in alone]
+        assert np.allclose(scores[: len(texts)], [s for _, s in alone], atol=1.01e-4)
+
+
 # 9 --------------------------------------------------------------------------
 
 
@@ -595,6 +610,54 @@ def test_near_copies_of_a_base_with_a_middle_id(spark, monkeypatch):
         assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(spark, rows)).collect()} == want
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    """Rows count by their texts, whatever their ids."""
+    rng = random.Random(43)
+    one, two, three, four = (prose(60, rng) for _ in range(4))
+    near = " ".join([*one.split()[:30], "changed", *one.split()[31:]])
+    rows = [(None, one), (None, two), (None, two), (5, near), (7, three), (7, four), (7, three), (8, four), (9, one)]
+    docs = clash(frame(spark, rows))
+    got = collections.Counter((r["doc_id"], r["class_id"]) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == {(None, 5): 1, (None, None): 2, (5, 5): 1, (7, 7): 3, (8, 7): 1, (9, 5): 1}
+    kept = near_dedup.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(5, near), (None, two), (7, three), (7, four)], key=str)
+
+
+def test_families_that_drift_against_all_pairs(spark):
+    """Each version changes a random earlier one, so links are chains beside the hub."""
+    rng = random.Random(4)
+    families = []
+    for _ in range(25):
+        versions = [[rng.choice(VOCABULARY) for _ in range(160)]]
+        while len(versions) < 15:
+            w = list(rng.choice(versions))
+            for j in rng.sample(range(160), rng.randint(1, 3)):
+                w[j] = rng.choice(VOCABULARY)
+            versions.append(w)
+        families.append(versions)
+    ids = list(range(25 * 15))
+    rng.shuffle(ids)
+    rows = [(ids[f * 15 + k], " ".join(w)) for f, versions in enumerate(families) for k, w in enumerate(versions)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    want = {}
+    for f in range(25):
+        want |= brute_classes(rows[f * 15 : (f + 1) * 15])
+    assert got == want
+
+
+def test_long_texts_are_aligned_in_time():
+    g = np.random.default_rng(5)
+    a = g.integers(0, 5000, 100_000).astype(np.uint64)
+    b = a.copy()
+    b[g.choice(100_000, 300, replace=False)] = 5001
+    began = time.perf_counter()
+    assert near_dedup.banded_distance(a, b, 20_000) == 300 and time.perf_counter() - began < 1
+    half = np.concatenate([a[1500:3000], a[:1500]])
+    began = time.perf_counter()
+    assert near_dedup.banded_distance(a[:3000], half, 600) is None and time.perf_counter() - began < 1
+
+
 def test_banded_distance_against_table():
     rng = random.Random(23)
     for _ in range(300):
