@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -74,9 +75,21 @@ def strip_suffix(name: str | Column, suffixes: list[str]) -> Column:
     return F.regexp_replace(_col(name), "(?i)(?<=.)\\.(" + "|".join(sorted(suffixes, key=lambda s: (-len(s), s))) + ")$", "")
 
 
+#: Suffixes that a nested archive's folder is shown without, and short forms of compressed TARs; fixed values.
+SHOWN_SUFFIXES = ["tar.gz", "tar.bz2", "tar.xz", "tar.zst", "tar.zstd", "tar", "tgz", "tbz2", "tbz", "txz", "tzst", "zip", "jar", "7z", "rar", "iso", "cab", "ar", "a", "cpio", "sqlar", "squashfs", "sqfs", "snap", "gz", "bz2", "xz", "zst"]
+SHORT_TARS = ["tgz", "taz", "tbz2", "tbz", "txz", "tzst", "tlz4"]
+DECODED_SUFFIXES = ["gzip", "gz", "bz2", "xz", "zst", "zstd", "lz4", "lzip", "lzop", "lzo", "lzma", "zlib", "zz", "lrzip", "lrz", "lz", "z"]
+
+
 def strip_archive(name: str | Column) -> Column:
-    """Name without compression and archive suffix: ``a.tar.gz`` and ``a.tgz`` give ``a``."""
-    return strip_suffix(strip_suffix(name, COMPRESSION_SUFFIXES), ARCHIVE_SUFFIXES)
+    """Name without its archive suffix: ``a.tar.gz`` and ``a.tgz`` give ``a``, ``a.zip.gz`` gives ``a.zip``."""
+    return F.regexp_replace(_col(name), "(?i)(?<=.)\\.(" + "|".join(re.escape(s) for s in SHOWN_SUFFIXES) + ")$", "")
+
+
+def strip_compression(name: str | Column) -> Column:
+    """Name of the decoded file: one compression suffix goes, and ``a.tgz`` gives ``a.tar``."""
+    short = F.regexp_replace(_col(name), "(?i)\\.(" + "|".join(SHORT_TARS) + ")$", ".tar")
+    return F.when(short != _col(name), short).otherwise(F.regexp_replace(_col(name), "(?i)\\.(" + "|".join(DECODED_SUFFIXES) + ")$", ""))
 
 
 def is_archive(name: str | Column, suffixes: list[str] | None = None) -> Column:

@@ -51,6 +51,25 @@ def crc32_hex(data: str | Column) -> Column:
     return F.lpad(F.lower(F.hex(F.crc32(_col(data)))), 8, "0")
 
 
+def fnv1a(text: str | Column) -> Column:
+    """64-bit FNV-1a of a text's bytes in hex without leading zeros.
+
+    The product modulo 2^64 is taken in halves of 32 bits, as a long would overflow.
+    """
+    codes = F.regexp_extract_all(F.hex(F.encode(_col(text), "UTF-8")), F.lit("(..)"), F.lit(1))
+    mask, start = F.lit(0xFFFFFFFF).cast("long"), 0xCBF29CE484222325
+
+    def step(acc: Column, code: Column) -> Column:
+        low = acc["low"].bitwiseXOR(F.conv(code, 16, 10).cast("long"))
+        product = low * 0x1B3
+        high = acc["high"] * 0x1B3 + F.shiftright(product, 32) + F.shiftleft(low, 8)
+        return F.struct(high.bitwiseAND(mask).alias("high"), product.bitwiseAND(mask).alias("low"))
+
+    zero = F.struct(F.lit(start >> 32).cast("long").alias("high"), F.lit(start & 0xFFFFFFFF).cast("long").alias("low"))
+    done = F.aggregate(codes, zero, step)
+    return F.when(done["high"] == 0, F.lower(F.hex(done["low"]))).otherwise(F.lower(F.concat(F.hex(done["high"]), F.lpad(F.hex(done["low"]), 8, "0"))))
+
+
 def digests(data: str | Column) -> list[Column]:
     """crc32, md5, sha1 and sha256 in lower-case hex."""
     d = _col(data)

@@ -143,9 +143,9 @@ def attributes(keys: DataFrame, data: DataFrame) -> DataFrame:
     return data.join(keys, data["keyid"] == keys["id"]).select("version_key", F.col("name").alias("key"), "value")
 
 
-def write_attributes(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Attributes after an upsert by (version_key, key); of equal new ones the greatest value stays."""
-    last = new.groupBy("version_key", "key").agg(F.max("value").alias("value"))
+def write_attributes(stored: DataFrame, new: DataFrame, ordinal: str) -> DataFrame:
+    """Attributes after an upsert by (version_key, key): of equal new ones the last by ``ordinal`` stays."""
+    last = new.groupBy("version_key", "key").agg(F.max_by("value", ordinal).alias("value"))
     return stored.join(last, ["version_key", "key"], "left_anti").unionByName(last)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import paths, values
-from cairn.operators.versions import MEMBER
+from cairn.operators.versions import MEMBER, newest
 
 
 def apply_overlay(base: DataFrame, overlay: DataFrame) -> DataFrame:
@@ -25,8 +25,7 @@ def apply_overlay(base: DataFrame, overlay: DataFrame) -> DataFrame:
 
 def latest_changes(log: DataFrame, ordinal: str) -> DataFrame:
     """A change log to the overlay table: the last change of each member."""
-    rest = [c for c in log.columns if c not in MEMBER]
-    return log.groupBy(*MEMBER).agg(F.max_by(F.struct(*rest), ordinal).alias("_row")).select(*MEMBER, "_row.*").select(*log.columns)
+    return newest(log, MEMBER, F.col(ordinal))
 
 
 def mark_deleted(overlay: DataFrame, base: DataFrame, targets: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import paths, values
-from cairn.operators.versions import MEMBER, version_order
+from cairn.operators.versions import MEMBER, newest, version_order
 
 HOPS = 8
 
@@ -24,14 +24,10 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [s.withColumn("source_idx", F.lit(i)) for i, s in enumerate(sources)])
 
 
-def _pick(rows: DataFrame, order) -> DataFrame:
-    rest = [c for c in rows.columns if c not in MEMBER]
-    return rows.groupBy(*MEMBER).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(*MEMBER, "_row.*").select(*rows.columns)
-
-
 def union_lookup(rows: DataFrame) -> DataFrame:
     """Version 0 of each member of the union (rows: the newest of each source)."""
-    return _pick(rows, F.struct(values.is_directory("mode"), F.col("source_idx")))
+    # one number for (is a directory, place): sources are far fewer than 2^31
+    return newest(rows, MEMBER, F.when(values.is_directory("mode"), F.lit(1 << 31)).otherwise(F.lit(0)).cast("long") + F.col("source_idx"))
 
 
 def union_list(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions import values
 
@@ -19,11 +20,26 @@ def version_order() -> Column:
     return F.coalesce(F.col("version_key"), F.lit(-1))
 
 
+#: Types that a hash aggregation can hold in place.
+FIXED = (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DoubleType, T.FloatType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def newest(rows: DataFrame, keys, order: Column) -> DataFrame:
+    """Of the rows with equal keys the one with the greatest ``order``: one aggregation with map-side combine.
+
+    Where all other columns have a fixed width it is a hash aggregation without a
+    sort, a value for each column, which all take the same row; else whole rows
+    are held, and Spark sorts by key.
+    """
+    rest = [f for f in rows.schema.fields if f.name not in keys]
+    if all(isinstance(f.dataType, FIXED) for f in rest):
+        return rows.groupBy(*keys).agg(*[F.max_by(F.col(f.name), order).alias(f.name) for f in rest]).select(*rows.columns) if rest else rows.select(*keys).distinct()
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[f.name for f in rest]), order).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
+
+
 def latest(files: DataFrame, keys=MEMBER) -> DataFrame:
-    """The newest row of each member: one aggregation with map-side combine, no sort."""
-    rest = [c for c in files.columns if c not in keys]
-    row = F.max_by(F.struct(*rest), version_order())
-    return files.groupBy(*keys).agg(row.alias("_row")).select(*keys, "_row.*").select(*files.columns)
+    """The newest row of each member."""
+    return newest(files, keys, version_order())
 
 
 def version_count(files: DataFrame, keys=MEMBER) -> DataFrame:
@@ -118,8 +134,7 @@ def pages(files: DataFrame, size: int) -> DataFrame:
 
 def replace_on_key(rows: DataFrame, ordinal: str, keys=("path", "name", "version_key")) -> DataFrame:
     """Bulk insert with replacement: of rows with equal keys the last inserted stays."""
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), ordinal).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
+    return newest(rows, keys, F.col(ordinal))
 
 
 def first_names(rows: DataFrame, normalized: Column, ordinal: str) -> DataFrame:

@@ -39,10 +39,10 @@ def oracles() -> dict[str, str]:
 # versions -------------------------------------------------------------------
 
 
-@_query(f"WITH {fx.ORDERS_SQL} SELECT path, name, max(version_key) AS version_key, arg_max(size, version_key) AS size, count(*) AS versions FROM files GROUP BY path, name")
+@_query(f"WITH {fx.ORDERS_SQL} SELECT path, name, max(version_key) AS version_key, arg_max(size, version_key) AS size FROM files GROUP BY path, name")
 def latest_version(spark, sf_dir):
     files = fx.orders(spark, sf_dir).select("path", "name", "version_key", "size")
-    return files.groupBy("path", "name").agg(F.max("version_key").alias("version_key"), F.max_by("size", "version_key").alias("size"), F.count(F.lit(1)).alias("versions"))
+    return versions.latest(files)
 
 
 @_query(f"WITH {fx.ORDERS_SQL} SELECT path, name, count(*) AS versions FROM files GROUP BY path, name")
@@ -228,10 +228,13 @@ def xattr_join(spark, sf_dir):
     return layers.attributes(keys, e.select(F.col("event_id").alias("version_key"), F.xxhash64("event_type").alias("keyid"), F.col("props").alias("value")))
 
 
-@_query("SELECT user_id AS version_key, event_type AS key, max(props) AS value FROM events GROUP BY user_id, event_type")
+@_query("""SELECT user_id AS version_key, event_type AS key, arg_max(props, event_id) AS value FROM events WHERE event_id % 3 <> 0 GROUP BY ALL
+UNION ALL SELECT user_id, event_type, arg_max(props, event_id) FROM events e WHERE event_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM events n WHERE n.event_id % 3 <> 0 AND n.user_id = e.user_id AND n.event_type = e.event_type) GROUP BY ALL""")
 def xattr_write(spark, sf_dir):
-    new = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("version_key"), F.col("event_type").alias("key"), F.col("props").alias("value"))
-    return layers.write_attributes(new.where("false"), new)
+    """The last value written stays, which is not the greatest one."""
+    rows = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("version_key"), F.col("event_type").alias("key"), F.col("props").alias("value"), "event_id")
+    old, new = rows.where("event_id % 3 = 0"), rows.where("event_id % 3 <> 0")
+    return layers.write_attributes(layers.write_attributes(old.drop("event_id").where("false"), old, "event_id"), new, "event_id")
 
 
 @_query("SELECT event_id AS version_key, (props::JSON ->> '$.k')::BIGINT AS k FROM events")

@@ -10,9 +10,13 @@ from __future__ import annotations
 import glob
 import hashlib
 import io
+import lzma
 import os
 import re
+import sqlite3
 import stat
+import struct
+import zipfile
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +33,8 @@ from cairn.sources.records import Entry, FormatError, clean, split
 PARSERS = {"zip": formats.zip_archive, "asar": formats.asar, "ar": formats.ar, "cpio": formats.cpio, "iso": formats.iso9660, "warc": formats.warc, "xar": formats.xar, "cab": formats.cab, "sqlar": formats.sqlar, "fat": formats.fat, "ogg": formats.ogg, "html": formats.html, "7z": images.seven_zip, "squashfs": images.squashfs, "ext4": images.ext, "pdf": images.pdf}
 _ROW = ["archive_id", "path", "name", "version_key", "header_offset", "data_offset", "size", "mtime", "mode", "type_flag", "linkname", "uid", "gid", "is_archive", "is_sparse", "is_generated", "is_tombstone", "recursion_depth", "backend"]
 _SUFFIX = re.compile(r"(?i)(?<=.)\.(bz2|bzip2|gz|gzip|lz4|lzip|lzma|lz|lzo|xz|zlib|zstd|zst|zz|z)$")
+#: What a broken archive or member raises.
+DAMAGE = (FormatError, ValueError, EOFError, OSError, KeyError, IndexError, struct.error, zlib.error, lzma.LZMAError, zipfile.BadZipFile, sqlite3.Error, RuntimeError, NotImplementedError)
 
 
 def open_body(f, name: str):
@@ -42,8 +48,16 @@ def open_body(f, name: str):
 
 
 def entries(f, name: str, **options) -> Iterator[tuple[Entry, str]]:
-    """(entry, back end) of a file of any known format; any other is one member."""
+    """(entry, back end) of a file of any known format; any other is one member.
+
+    Where damage ends an archive behind its start, what was read before stays, and
+    the reason is added to the list ``damage`` if one is given.
+    """
     body, codec = open_body(f, name)
+    yield from _entries(body, codec, name, **options)
+
+
+def _entries(body, codec: str | None, name: str, **options) -> Iterator[tuple[Entry, str]]:
     head = body.read(65536)
     body.seek(0)
     kind = formats.detect(head)
@@ -63,11 +77,14 @@ def entries(f, name: str, **options) -> Iterator[tuple[Entry, str]]:
                 yield from ((e, "index") for e in formats.index_file(io.BytesIO(raw)))
             return
         if kind in PARSERS:
-            for e in PARSERS[kind](body):
+            more = {"password": options["password"].encode()} if kind == "zip" and options.get("password") else {}
+            for e in PARSERS[kind](body, **more):
                 yield e, kind
             return
-    except FormatError:
+    except FormatError as e:
         if body.tell() and kind in ("tar", "cpio", "ar", "warc", "ogg"):
+            if options.get("damage") is not None:
+                options["damage"].append(str(e))
             return  # what was read before the damage stays
         raise
     body.seek(0, io.SEEK_END)
@@ -105,13 +122,16 @@ def binary(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _each(files: DataFrame, make, spec) -> DataFrame:
-    """Rows of ``make(archive_id, file)`` for each file."""
+    """Rows of ``make(archive_id, file)`` for each file; a broken one gives what comes before the damage, ``scan_damage`` tells of it."""
 
     def run(batches):
         def rows():
             for batch in batches:
                 for i in range(batch.num_rows):
-                    yield from make(batch.column(0)[i].as_py(), io.BytesIO(batch.column(1)[i].as_py() or b""))
+                    try:
+                        yield from make(batch.column(0)[i].as_py(), io.BytesIO(batch.column(1)[i].as_py() or b""))
+                    except DAMAGE:
+                        continue
 
         return _batches(rows(), spec)
 
@@ -123,6 +143,29 @@ def scan(files: DataFrame, **options) -> DataFrame:
     return _each(files, lambda a, f: (row(a, e, b) for e, b in entries(f, a, **options)), S.FILES)
 
 
+def scan_damage(files: DataFrame, **options) -> DataFrame:
+    """(archive_id, path, reason): archives that are broken or end early, with path null, and members whose bytes cannot be read."""
+
+    def make(a, f):
+        found: list[str] = []
+        try:
+            body, codec = open_body(f, a)
+            source: dict = {}
+            for e, b in list(_entries(body, codec, a, damage=found, **options)):
+                if e.mode & 0xF000 == S_IFREG and not e.tombstone:
+                    try:
+                        if len(member_bytes(body, e, b, source, options.get("password"))) < e.size and not e.linkname and b != "index" and (e.offset is not None or e.data is not None):
+                            raise EOFError("cut short")
+                    except DAMAGE as x:
+                        yield (a, clean(e.name), f"{type(x).__name__}: {x}")
+        except DAMAGE as x:
+            found.append(f"{type(x).__name__}: {x}")
+        for reason in found:
+            yield (a, None, reason)
+
+    return _each(files, make, S._t("archive_id string, path string, reason string"))
+
+
 def scan_attributes(files: DataFrame, **options) -> DataFrame:
     """Extended attributes stored in archives."""
     return _each(files, lambda a, f: ((a, e.header, k, v) for e, _ in entries(f, a, **options) for k, v in sorted(e.xattrs.items())), S.XATTRS)
@@ -156,8 +199,8 @@ def scan_blocks(files: DataFrame) -> DataFrame:
     return _each(files, make, S.BLOCKS)
 
 
-def member_bytes(body, e: Entry, backend: str, source=None) -> bytes:
-    """The whole content of a regular member."""
+def member_bytes(body, e: Entry, backend: str, source: dict | None = None, password: str | None = None) -> bytes:
+    """The whole content of a regular member; ``source`` keeps what is read once for an archive."""
     if e.data is not None:
         return e.data
     if e.segments:
@@ -170,7 +213,10 @@ def member_bytes(body, e: Entry, backend: str, source=None) -> bytes:
                 out.append(body.read(n))
         return b"".join(out)
     if backend == "zip":
-        return formats.zip_member(body, e.name, e.header)
+        source = {} if source is None else source
+        if "zip" not in source:
+            source["zip"] = formats.ZipBody(body, password.encode() if password else None)
+        return source["zip"].read(e.header)
     if e.offset is None:
         return b""
     body.seek(e.offset)
@@ -180,15 +226,34 @@ def member_bytes(body, e: Entry, backend: str, source=None) -> bytes:
 CONTENT = S._t("archive_id string, path string, name string, version_key long, content binary")
 
 
+def _contents(f, a: str, options: dict, stored: bool = False) -> Iterator[tuple[Entry, bytes]]:
+    """Regular members with their bytes, the archive decoded once; members that cannot be read are left out.
+
+    ``stored``: the raw bytes of sparse TAR members.
+    """
+    body, codec = open_body(f, a)
+    source: dict = {}
+    for e, b in list(_entries(body, codec, a, **options)):
+        if e.mode & 0xF000 != S_IFREG or e.tombstone:
+            continue
+        try:
+            if stored and e.sparse and b == "tar":
+                body.seek(e.offset)
+                raw = body.read(sum(n for kind, _, n in e.segments if kind == "data"))
+            else:
+                raw = member_bytes(body, e, b, source, options.get("password"))
+        except DAMAGE:
+            continue
+        yield e, raw
+
+
 def scan_contents(files: DataFrame, **options) -> DataFrame:
     """Bytes of the regular members: holes of sparse ones are zeros."""
 
     def make(a, f):
-        body, _ = open_body(f, a)
-        for e, b in entries(io.BytesIO(f.getvalue()), a, **options):
-            if e.mode & 0xF000 == S_IFREG and not e.tombstone:
-                path, name = split(clean(e.name))
-                yield (a, path, name, e.header, member_bytes(body, e, b))
+        for e, raw in _contents(f, a, options):
+            path, name = split(clean(e.name))
+            yield (a, path, name, e.header, raw)
 
     return _each(files, make, CONTENT)
 
@@ -214,15 +279,9 @@ def scan_digests(files: DataFrame, algorithms: str = "sha256", **options) -> Dat
     names = digest_names(algorithms)
 
     def make(a, f):
-        body, _ = open_body(f, a)
-        for e, b in entries(io.BytesIO(f.getvalue()), a, **options):
-            if e.mode & 0xF000 != S_IFREG or e.size <= 0 or e.generated or e.tombstone or e.linkname:
+        for e, raw in _contents(f, a, options, stored=True):
+            if e.size <= 0 or e.generated or e.linkname:
                 continue
-            if e.sparse and b == "tar":
-                body.seek(e.offset)
-                raw = body.read(sum(n for kind, _, n in e.segments if kind == "data"))
-            else:
-                raw = member_bytes(body, e, b)
             for n in names:
                 yield (a, e.header, f"user.{n}", (f"{zlib.crc32(raw):08x}" if n == "crc32" else hashlib.new(DIGESTS[n], raw).hexdigest()).encode())
 
@@ -230,7 +289,10 @@ def scan_digests(files: DataFrame, algorithms: str = "sha256", **options) -> Dat
 
 
 def open_nested(contents: DataFrame):
-    """For ``layers.automount``: opens archive members whose bytes are in ``contents(archive_id, path, name, version_key, content)``."""
+    """For ``layers.automount``: opens archive members whose bytes are in ``contents(archive_id, path, name, version_key, content)``.
+
+    The archive_id of a nested archive's rows is its owner's archive and path.
+    """
 
     def run(members: DataFrame) -> DataFrame:
         own = members.select("archive_id", "path", "name", "version_key", F.col("_full").alias("_owner")).join(contents, ["archive_id", "path", "name", "version_key"])
@@ -240,15 +302,15 @@ def open_nested(contents: DataFrame):
             def rows():
                 for batch in batches:
                     for i in range(batch.num_rows):
-                        owner, raw = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                        owner, raw, within = (batch.column(k)[i].as_py() for k in range(3))
                         try:
-                            yield from ((*row(owner, e, b), owner) for e, b in list(entries(io.BytesIO(raw), owner)) if b != "file")
-                        except (FormatError, EOFError, ValueError):
+                            yield from ((*row((within or "") + owner, e, b), owner) for e, b in list(entries(io.BytesIO(raw), owner)) if b != "file")
+                        except DAMAGE:
                             continue  # it only looks like an archive
 
             return _batches(rows(), spec)
 
-        return own.select("_owner", "content").mapInArrow(make, spec)
+        return own.select("_owner", "content", "archive_id").mapInArrow(make, spec)
 
     return run
 
@@ -377,4 +439,15 @@ def split_sets(names: DataFrame) -> DataFrame:
 
 def joined_parts(files: DataFrame) -> DataFrame:
     """(archive_id, content): split volumes ``files(archive_id, part, content)`` put together in order."""
-    return files.groupBy("archive_id").agg(F.sort_array(F.collect_list(F.struct("part", "content"))).alias("parts")).select("archive_id", F.expr("aggregate(parts, cast('' as binary), (acc, p) -> concat(acc, p.content))").alias("content"))
+    return join_pieces(files.groupBy("archive_id").agg(F.sort_array(F.collect_list(F.struct("part", "content"))).alias("parts")))
+
+
+def join_pieces(rows: DataFrame) -> DataFrame:
+    """(archive_id, content) of ``rows(archive_id, parts)``, each part's bytes copied once."""
+
+    def run(batches):
+        for batch in batches:
+            whole = [b"".join(p["content"] or b"" for p in parts) for parts in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary())], names=["archive_id", "content"])
+
+    return rows.select("archive_id", F.transform("parts", lambda p: F.struct(p["content"].alias("content"))).alias("parts")).mapInArrow(run, "archive_id string, content binary")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
 import bz2
 import lzma
 import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+
 CHUNK = 1 << 20
 
 
@@ -190,61 +193,102 @@ def _varint(raw: bytes, at: int) -> tuple[int, int]:
 
 
 def xz_blocks(raw: bytes) -> list[tuple[int, int]]:
-    """From the footer's index, for a file of one stream."""
-    back = (struct.unpack_from("<I", raw, len(raw) - 8)[0] + 1) * 4
-    at = len(raw) - 12 - back
-    if raw[-2:] != b"YZ" or raw[at] != 0:
-        raise ValueError("no xz index")
-    count, at = _varint(raw, at + 1)
-    comp, data, out = 12, 0, []
-    for _ in range(count):
-        packed, at = _varint(raw, at)
-        size, at = _varint(raw, at)
-        out.append((comp, data))
-        comp, data = comp + -(-packed // 4) * 4, data + size
+    """From the indexes of all streams, the last one first."""
+    end, streams = len(raw), []
+    while end > 0:
+        while end >= 4 and raw[end - 4 : end] == bytes(4):
+            end -= 4  # padding between streams
+        back = (struct.unpack_from("<I", raw, end - 8)[0] + 1) * 4
+        at = end - 12 - back
+        if raw[end - 2 : end] != b"YZ" or raw[at] != 0:
+            raise ValueError("no xz index")
+        count, at = _varint(raw, at + 1)
+        sizes = []
+        for _ in range(count):
+            packed, at = _varint(raw, at)
+            size, at = _varint(raw, at)
+            sizes.append((-(-packed // 4) * 4, size))
+        start = end - 24 - back - sum(p for p, _ in sizes)
+        streams.append((start, sizes))
+        end = start
+    data, out, comp = 0, [], 0
+    for start, sizes in reversed(streams):
+        comp = start + 12
+        for packed, size in sizes:
+            out.append((comp, data))
+            comp, data = comp + packed, data + size
     return [*out, (comp, data)]
 
 
+def _shifted(raw: bytes, by: int) -> bytes:
+    """The bytes read from ``by`` bits behind the start."""
+    x = np.frombuffer(raw + b"\0", dtype=np.uint8).astype(np.uint16)
+    return ((x[:-1] << by | x[1:] >> (8 - by)) & 255).astype(np.uint8).tobytes()
+
+
+def _bit_places(raw: bytes, mark: bytes) -> list[int]:
+    """Bit offsets of a mark, at any alignment."""
+    out = []
+    for by in range(8):
+        shifted, at = _shifted(raw, by), -1
+        while (at := shifted.find(mark, at + 1)) >= 0:
+            out.append(at * 8 + by)
+    return sorted(out)
+
+
 def bzip2_blocks(raw: bytes) -> list[tuple[int, int]]:
     """Bit offsets of the blocks; data offsets need decoding, each block as a stream of its own."""
-    bits, mask = 0, (1 << 48) - 1
-    marks, ends = [], []
-    for i, b in enumerate(raw):
-        bits = (bits << 8 | b) & ((1 << 56) - 1)
-        for s in range(8):
-            word = bits >> s & mask
-            if word == 0x314159265359:
-                marks.append(i * 8 + 8 - s - 48)
-            elif word == 0x177245385090:
-                ends.append(i * 8 + 8 - s - 48)
+    marks, ends = _bit_places(raw, b"\x31\x41\x59\x26\x53\x59"), _bit_places(raw, b"\x17\x72\x45\x38\x50\x90")
+    edges = sorted([*marks, *ends])
     data, out = 0, []
-    number = int.from_bytes(raw, "big")
-    total = len(raw) * 8
-    for m in sorted(marks):
-        stop = min(x for x in [*marks, *ends] if x > m)
-        body = number >> (total - stop) & ((1 << (stop - m)) - 1)
-        crc = body >> (stop - m - 80) & 0xFFFFFFFF
-        stream = ((0x425A6839 << (stop - m) | body) << 80) | 0x177245385090 << 32 | crc
-        n = 32 + stop - m + 80
-        stream <<= -n % 8
+    for m in marks:
+        stop = edges[bisect.bisect_right(edges, m)]
+        body = _shifted(raw[m // 8 : stop // 8 + 2], m % 8)
+        whole, rest = divmod(stop - m, 8)
+        tail = body[whole] >> (8 - rest) if rest else 0
+        tail = (tail << 80 | 0x177245385090 << 32 | int.from_bytes(body[6:10], "big")) << -rest % 8
+        stream = b"BZh9" + body[:whole] + tail.to_bytes(10 + (rest > 0), "big")
         out.append((m, data))
-        data += len(bz2.decompress(stream.to_bytes(-(-n // 8), "big")))
-    return [*out, (ends[-1] if ends else total, data)]
+        data += len(bz2.decompress(stream))
+    return [*out, (ends[-1] if ends else len(raw) * 8, data)]
+
+
+def _seek_table(raw: bytes) -> list[tuple[int, int]] | None:
+    """(compressed, decoded) sizes of the frames from a seek table at the end, if there is one."""
+    if len(raw) < 17 or raw[-4:] != b"\xb1\xea\x92\x8f":
+        return None
+    count, flags = struct.unpack_from("<IB", raw, len(raw) - 9)
+    row = 12 if flags & 128 else 8
+    start = len(raw) - 9 - count * row
+    if start < 8 or struct.unpack_from("<II", raw, start - 8) != (0x184D2A5E, count * row + 9):
+        return None
+    return [struct.unpack_from("<II", raw, start + i * row) for i in range(count)]
 
 
 def zstd_blocks(raw: bytes) -> list[tuple[int, int]]:
-    """One row for each frame."""
+    """One row for each frame: from the seek table, else from the frames, decoded in turn."""
     import zstandard
 
     at, data, out = 0, 0, []
+    table = _seek_table(raw)
+    if table is not None:
+        for packed, size in table:
+            out.append((at, data))
+            at, data = at + packed, data + size
+        return [*out, (at, data)]
+    view = memoryview(raw)
     while at < len(raw):
-        d = zstandard.ZstdDecompressor().decompressobj()
-        size = len(d.decompress(raw[at:]))
+        if raw[at + 1 : at + 4] == b"\x2a\x4d\x18" and raw[at] >> 4 == 5:  # a frame to skip
+            at += 8 + struct.unpack_from("<I", raw, at + 4)[0]
+            continue
+        d, start = zstandard.ZstdDecompressor().decompressobj(), at
         out.append((at, data))
-        data += size
-        at = len(raw) - len(d.unused_data)
-        if not d.unused_data:
-            break
+        while not d.eof and at < len(raw):
+            data += len(d.decompress(view[at : at + CHUNK]))
+            at += CHUNK
+        at = min(at, len(raw)) - len(d.unused_data)
+        if at <= start:
+            raise ValueError("zstd frame is cut")
     return [*out, (len(raw), data)]
 
 

@@ -15,6 +15,7 @@ import zipfile
 import zlib
 from hashlib import sha256
 
+from cairn.functions import html as markup
 from cairn.functions.values import S_IFDIR, S_IFLNK, S_IFREG
 from cairn.sources.records import Entries, Entry, FormatError, clean, decode, directory, need, symlink
 
@@ -54,9 +55,15 @@ def zip_archive(f, *, password: bytes | None = None) -> Entries:
         yield e
 
 
-def zip_member(f, name: str, header: int, password: bytes | None = None) -> bytes:
-    z = zipfile.ZipFile(f)
-    return z.read(next(i for i in z.infolist() if i.header_offset == header), password)
+class ZipBody:
+    """Member bytes of one archive, its directory read once."""
+
+    def __init__(self, f, password: bytes | None = None):
+        self.zip, self.password = zipfile.ZipFile(f), password
+        self.by_header = {i.header_offset: i for i in self.zip.infolist()}
+
+    def read(self, header: int) -> bytes:
+        return self.zip.read(self.by_header[header], self.password)
 
 
 # AR -------------------------------------------------------------------------
@@ -439,21 +446,24 @@ def html(f) -> Entries:
     if not re.search(r"(?i)<(!doctype html|html|head|body)", text[:4096]):
         raise FormatError("no html")
     seen: dict[str, int] = {}
-    for m in re.finditer(r"""["'(]\s*(data:([^;,"')\s]*)([^,"')\s]*),([^"')\s]*))""", text):
-        body = unquote_to_bytes(m[4])
-        if ";base64" in m[3].lower():
+    for start, uri in markup.find_data_uris(text):
+        meta, comma, packed = markup.unescape_text(uri).strip()[5:].partition(",")
+        if not comma or not packed:
+            continue
+        body = unquote_to_bytes(packed)
+        kind, *more = (x.strip() for x in meta.split(";"))
+        if "base64" in [x.lower() for x in (kind, *more)]:
             try:
                 body = base64.b64decode(re.sub(rb"\s", b"", body))
             except ValueError:
                 continue
-        kind = m[2].lower() or "text/plain"
-        sub = kind.rpartition("/")[2]
-        from cairn.functions.html import MEDIA_EXTENSIONS
-
-        name = f"{sha256(body).hexdigest()}.{MEDIA_EXTENSIONS.get(kind) or (sub if sub and len(sub) < 8 else 'bin')}"
-        n = seen.get(name, 0)
-        seen[name] = n + 1
-        yield Entry(f"{name}-{n}" if n else name, header=m.start(1), size=len(body), data=body)
+        if not body:
+            continue
+        extension = markup.extension_of(kind if "/" in kind else "text/plain")
+        stem, end = sha256(body).hexdigest(), f".{extension}" if extension else ""
+        n = seen.get(stem + end, 0)
+        seen[stem + end] = n + 1
+        yield Entry(f"{stem}-{n}{end}" if n else stem + end, header=start, size=len(body), data=body)
 
 
 # FAT ------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators import ranges
+from cairn.sources.archives import join_pieces
 
 WINDOW = 4 << 20
 
@@ -86,4 +87,4 @@ def read_windows(asked: DataFrame, more: dict[str, str] | None = None) -> DataFr
 
 def read_files(parts: DataFrame) -> DataFrame:
     """(archive_id, content) from windows, for files that fit a row; ``archives.scan`` takes these."""
-    return parts.groupBy(F.col("url").alias("archive_id")).agg(F.sort_array(F.collect_list(F.struct("start", "content"))).alias("parts")).select("archive_id", F.expr("aggregate(parts, cast('' as binary), (acc, p) -> concat(acc, p.content))").alias("content"))
+    return parts.groupBy(F.col("url").alias("archive_id")).agg(F.sort_array(F.collect_list(F.struct("start", "content"))).alias("parts")).transform(join_pieces)

@@ -124,9 +124,9 @@ def parse(f, *, ignore_zeros: bool = False, incremental: bool | None = None, enc
         prefix = head[345:500].split(b"\0", 1)[0] if head[257:263] == b"ustar\0" else b""
         if prefix:
             name = decode(prefix, encoding) + "/" + name
-        old_gnu = head[257:264] == b"ustar  "
-        if incremental is not False and old_gnu and re.match(r"[0-7]{11,12}/", name) and flag == "0":
-            name = name.split("/", 1)[1]  # some incremental dumps put the time in front
+        first, slash, rest = name.partition("/")
+        if incremental is not False and slash and re.fullmatch("[0-7]+", first) and (head[345:500] + b"\0").startswith(first.encode() + b"\0"):
+            name = rest  # some incremental dumps put the time in front, as it stands in the prefix field
         name, link = long_name or name, long_link or decode(head[157:257].split(b"\0", 1)[0], encoding)
         name = decode(records["path"], "utf-8") if "path" in records else name
         link = decode(records["linkpath"], "utf-8") if "linkpath" in records else link

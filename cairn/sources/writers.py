@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tarfile
 import uuid
 import zipfile
@@ -15,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from cairn.operators.versions import replace_on_key
 from cairn.plans import schema as S
+from cairn.sources.records import clean
 
 MEMBERS = S._t("archive_id string, path string, name string, mode long, mtime double, uid long, gid long, linkname string, content binary")
 
@@ -35,9 +37,9 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.FILES).parquet(path)
 
 
-def upsert_metadata(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Key/value metadata after an upsert; of equal new keys the greatest value stays."""
-    last = new.groupBy("key").agg(F.max("value").alias("value"))
+def upsert_metadata(stored: DataFrame, new: DataFrame, ordinal: str) -> DataFrame:
+    """Key/value metadata after an upsert; of equal new keys the last by ``ordinal`` stays."""
+    last = new.groupBy("key").agg(F.max_by("value", ordinal).alias("value"))
     return stored.join(last, "key", "left_anti").unionByName(last)
 
 
@@ -106,7 +108,7 @@ class _Written(WriterCommitMessage):
 
 class _Writer(DataSourceWriter):
     def __init__(self, options: dict):
-        self.path, self.kind = options["path"], options.get("kind", "tar")
+        self.path, self.kind = options["path"].rstrip("/"), options.get("kind", "tar")
 
     def write(self, rows):
         os.makedirs(self.path, exist_ok=True)
@@ -121,7 +123,8 @@ class _Writer(DataSourceWriter):
             if build is None or r["archive_id"] != now:
                 close()
                 now = r["archive_id"]
-                final = os.path.join(self.path, os.path.basename(now))
+                final = self.path + clean(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:", "", now))  # with its folders: base names may be alike
+                os.makedirs(os.path.dirname(final), exist_ok=True)
                 temporary = f"{final}.{uuid.uuid4().hex}.part"
                 done.append((temporary, final))
                 out = open(temporary, "wb")

@@ -122,8 +122,8 @@ def test_mounts(spark):
 
 def test_attributes(spark):
     stored = spark.createDataFrame([(1, "user.a", b"1"), (1, "user.b", b"2")], "version_key long, key string, value binary")
-    new = spark.createDataFrame([(1, "user.a", b"9"), (2, "user.a", b"3")], "version_key long, key string, value binary")
-    assert [(a, b, bytes(c)) for a, b, c in pick(layers.write_attributes(stored, new), "version_key", "key", "value")] == [(1, "user.a", b"9"), (1, "user.b", b"2"), (2, "user.a", b"3")]
+    new = spark.createDataFrame([(1, "user.a", b"z", 1), (1, "user.a", b"9", 2), (2, "user.a", b"3", 3)], "version_key long, key string, value binary, at long")
+    assert [(a, b, bytes(c)) for a, b, c in pick(layers.write_attributes(stored, new, "at"), "version_key", "key", "value")] == [(1, "user.a", b"9"), (1, "user.b", b"2"), (2, "user.a", b"3")]
     assert layers.fold_attributes(stored).first()["xattrs"] == {"user.a": b"1", "user.b": b"2"}
 
 
@@ -158,3 +158,5 @@ def test_empty_catalog(spark):
 def test_newest_is_one_aggregation(spark):
     plan = versions.latest(some(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SortMergeJoin" not in plan
+    plan = versions.latest(some(spark).select("path", "name", "version_key", "size"))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan

@@ -95,7 +95,7 @@ def test_zip():
     assert got["d/"].mode & 0xF000 == S_IFDIR and got["l"].linkname == "d/a" and got["d/a"].offset is None
     s = got["s"]
     assert out.getvalue()[s.offset : s.offset + s.size] == b"stored"
-    assert formats.zip_member(out, "d/a", got["d/a"].header) == b"hello" * 50
+    assert formats.ZipBody(out).read(got["d/a"].header) == b"hello" * 50
 
 
 def test_ar_and_cpio():
@@ -275,3 +275,41 @@ def test_split_volumes(spark):
     assert got == {"v": ("decimal", 1, 3, 3), "w": ("letters", 0, 1, 2)}
     parts = spark.createDataFrame([("v", 2, b"cd"), ("v", 1, b"ab"), ("v", 3, b"e")], "archive_id string, part long, content binary")
     assert bytes(archives.joined_parts(parts).first()["content"]) == b"abcde"
+
+
+def test_damage_is_told_and_ends_no_job(spark):
+    good, bad_member = zip_of({"a": b"1" * 900, "b": b"2"}), bytearray(zip_of({"a": b"1" * 900, "b": b"2"}))
+    bad_member[35] ^= 0xFF
+    files = [("good.zip", good), ("member.zip", bytes(bad_member)), ("cut.zip", good[:-30]), ("cut.tar.gz", gzip.compress(make_tar(TREE))[:60]), ("bad.tar.xz", b"\xfd7zXZ\0" + b"x" * 90), ("empty.tar", b"")]
+    raw = spark.createDataFrame(files, "archive_id string, content binary")
+    got = sorted((r["archive_id"], r["name"]) for r in archives.scan_contents(raw).where("archive_id like '%zip'").collect())
+    assert got == [("good.zip", "a"), ("good.zip", "b"), ("member.zip", "b")]
+    told = {(r["archive_id"], r["path"]) for r in archives.scan_damage(raw).collect()}
+    assert told == {("member.zip", "/a"), ("cut.zip", None), ("cut.tar.gz", None), ("bad.tar.xz", None)}
+    assert {r["archive_id"] for r in archives.scan_digests(raw).collect()} == {"good.zip", "member.zip"}
+
+
+def test_incremental_prefix_equals_the_prefix_field():
+    raw = bytearray(make_tar([("12345670123/d/f", b"x")], tarfile.USTAR_FORMAT))
+    assert [e.name for e in tar.parse(io.BytesIO(bytes(raw)))] == ["12345670123/d/f"]
+    raw[345:356] = b"12345670123"
+    raw[257:265] = b"ustar  \0"
+    raw[148:156] = b" " * 8
+    raw[148:156] = f"{sum(raw[:512]):06o}\0 ".encode()
+    assert [e.name for e in tar.parse(io.BytesIO(bytes(raw)))] == ["d/f"]
+    assert [e.name for e in tar.parse(io.BytesIO(bytes(raw)), incremental=False)] == ["12345670123/d/f"]
+
+
+def test_archives_of_one_base_name(spark, tmp_path):
+    rows = [(f"{d}/a.tar", "", "f", 0x81A4, 100.0, 0, 0, "", d.encode()) for d in "xy"]
+    writers.write_archives(spark.createDataFrame(rows, writers.MEMBERS), str(tmp_path / "w"))
+    got = {bytes(r["content"]) for r in archives.scan_contents(archives.binary(spark, str(tmp_path / "w"))).collect()}
+    assert got == {b"x", b"y"}
+
+
+def test_bzip2_blocks_at_any_bit():
+    data = b"".join(hashlib.sha256(bytes([i & 255, i >> 8])).digest() for i in range(9000)) + b"z" * 70000
+    raw = bz2.compress(data, 1) + bz2.compress(b"tail") + bz2.compress(b"")
+    blocks = codecs.bzip2_blocks(raw)
+    assert blocks[0] == (32, 0) and blocks[-1][1] == len(data) + 4 and len(blocks) >= 5 and any(b % 8 for b, _ in blocks)
+    assert codecs.xz_blocks(lzma.compress(data) + bytes(4) + lzma.compress(b"tail"))[-1][1] == len(data) + 4
