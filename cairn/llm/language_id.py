@@ -8,7 +8,8 @@ sample of labelled documents (``per_language`` documents of each language, the
 smallest by a hash of doc_id; from each up to ``windows_per_doc`` windows).
 Prediction streams whole texts: they are cut into segments with ``OVERLAP`` bytes
 of context on both sides, so that all segments of a batch run as one matrix and
-memory does not depend on the length of a text.
+memory does not depend on the length of a text.  The network has one class more, of
+made-up scripts; ``identify`` leaves it out, ``keep_languages`` drops what it wins.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; documents
 without a language teach nothing; without any labelled document all others are
@@ -149,16 +150,31 @@ class BiGRU:
                     self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
 
+def foreign_windows(count: int, window: int, seed: int) -> np.ndarray:
+    """Windows of words in random letters of scripts beyond the Latin ones: what the network learns as no language."""
+    g = np.random.default_rng([seed, 1])
+    out = []
+    for _ in range(count):
+        script = int(g.integers(0x370, 0xA000))  # neighbouring letters, as in a real script
+        letters = np.where(g.random(window) < 0.15, 32, script + g.integers(0, 64, window))
+        out.append(np.frombuffer("".join(map(chr, letters.tolist())).encode()[:window], dtype=np.uint8))
+    return np.stack(out)
+
+
 class Model:
-    """A trained network with its languages."""
+    """A trained network with its languages; one output more than languages stands for none of them."""
 
     def __init__(self, languages: list[str], net: BiGRU | None):
         self.languages, self.net = languages, net
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
-        """Best language and its probability for each text (bytes of UTF-8)."""
-        if self.net is None:
-            return ["und"] * len(texts), [0.0] * len(texts)
+        """Best language and its probability among the languages for each text (bytes of UTF-8)."""
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[bytes]) -> tuple[list[str], list[float], list[bool]]:
+        """The same, and whether none of the languages is likelier than any of them."""
+        if self.net is None or not texts:
+            return ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
         where, start = [], []
         for i, t in enumerate(texts):
             n = len(t)
@@ -167,7 +183,7 @@ class Model:
         owner, start = np.array(where), np.array(start)
         raw = [np.frombuffer(t, dtype=np.uint8) for t in texts]
         length = np.array([len(t) for t in texts], dtype=np.int64)
-        total = np.zeros((len(texts), len(self.languages)))
+        total = np.zeros((len(texts), len(self.net.p["c"])))
         width = SEGMENT + 2 * OVERLAP
         # segments of like length run together
         size = np.minimum(length[owner] - start, SEGMENT)
@@ -185,19 +201,23 @@ class Model:
             z[np.arange(len(z))[:, None] >= size[own][None, :]] = 0
             np.add.at(total, owner[own], z.sum(axis=0))
         total /= np.maximum(length, 1)[:, None]
+        known = len(self.languages)
+        foreign = (total[:, known:].max(axis=1) > total[:, :known].max(axis=1)).tolist() if total.shape[1] > known else [False] * len(texts)
+        total = total[:, :known]
         total -= total.max(axis=1, keepdims=True)
         p = np.exp(total)
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
         # products of another shape are summed in another order: digits beyond the fourth are not the text's own
-        return [self.languages[i] for i in best.tolist()], np.round(p[np.arange(len(p)), best], 4).tolist()
+        return [self.languages[i] for i in best.tolist()], np.round(p[np.arange(len(p)), best], 4).tolist(), foreign
 
 
-def fit(docs: DataFrame, *, per_language: int = 300, windows_per_doc: int = 4, window: int = 64, hidden: int = 8, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 0) -> Model:
+def fit(docs: DataFrame, *, per_language: int = 300, windows_per_doc: int = 4, foreign: int = 400, window: int = 64, hidden: int = 8, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 0) -> Model:
     """Train on a bounded sample of the labelled documents that are not held out.
 
     The sample has at most ``per_language`` documents a language, whatever the
-    size of the table, chosen without reading their texts.
+    size of the table, chosen without reading their texts, and ``foreign`` windows
+    of made-up scripts.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     # the least of the least of groups of partitions: no task gets the rows of all partitions
@@ -225,7 +245,10 @@ def fit(docs: DataFrame, *, per_language: int = 300, windows_per_doc: int = 4, w
     y = [languages.index(r[0]) for r in chosen]
     if not x:
         return Model([], None)
-    net = BiGRU(hidden, len(languages), seed)
+    net = BiGRU(hidden, len(languages) + (foreign > 0), seed)
+    if foreign:
+        x += list(foreign_windows(foreign, window, seed))
+        y += [len(languages)] * foreign
     net.train(np.stack(x), np.array(y), epochs=epochs, batch=batch, rate=rate, seed=seed)
     return Model(languages, net)
 
@@ -237,7 +260,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for ids, held, lang, score in _predict(batch, shared.value):
+            for ids, held, lang, score, _ in _predict(batch, shared.value):
                 yield pa.RecordBatch.from_arrays([ids, held, pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -255,22 +278,21 @@ def _predict(batch: pa.RecordBatch, model: Model, text: int = 2):
         part = column.slice(start, i + 1 - start)
         letters = pc.fill_null(pc.match_substring_regex(part, r"\pL"), False).to_pylist()
         raw = [t.encode() for t, ok in zip(part.to_pylist(), letters, strict=True) if ok]
-        names, scores = model.predict(raw)
-        got = iter(zip(names, scores, strict=True))
-        both = [next(got) if ok else ("und", 0.0) for ok in letters]
-        yield batch.column(0).slice(start, i + 1 - start), batch.column(1).slice(start, i + 1 - start), [b[0] for b in both], [b[1] for b in both]
+        got = iter(zip(*model.judge(raw), strict=True))
+        both = [next(got) if ok else ("und", 0.0, True) for ok in letters]
+        yield batch.column(0).slice(start, i + 1 - start), batch.column(1).slice(start, i + 1 - start), *map(list, zip(*both, strict=True))
         start, size = i + 1, 0
 
 
 def keep_languages(docs: DataFrame, model: Model, *, min_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language with at least ``min_score``."""
+    """The rows of ``docs``, all columns, whose text is likelier in a learned language, with at least ``min_score``, than in none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
             pair = pa.RecordBatch.from_arrays([column, column, column], names=["a", "b", "text"])
-            keep = [lang != "und" and score >= min_score for _, _, langs, scores in _predict(pair, shared.value) for lang, score in zip(langs, scores, strict=True)]
+            keep = [lang != "und" and score >= min_score and not none for _, _, *got in _predict(pair, shared.value) for lang, score, none in zip(*got, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

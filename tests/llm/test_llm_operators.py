@@ -470,7 +470,7 @@ def test_language_held_out_accuracy(spark):
     rng = random.Random(17)
     forms = {"aa": "abcde", "bb": "vwxyz", "cc": "éèçàü"}
     rows = [(i, " ".join("".join(rng.choice(forms[lang] + "nst") for _ in range(5)) for _ in range(rng.randint(3, 200))), lang) for i in range(240) for lang in [list(forms)[i % 3]]]
-    rows += [(900, None, "aa"), (901, "123 !?", "bb"), (902, "abcab", None)]
+    rows += [(900, None, "aa"), (901, "123 !?", "bb"), (902, "abcab", None), (903, "これは学習されていない言語の文章です。" * 4, None), (904, "Это русский текст, которого нет среди языков. " * 3, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.fit(df, per_language=40)
     got = {r["doc_id"]: r for r in language_id.identify(df, model).collect()}
@@ -479,7 +479,7 @@ def test_language_held_out_accuracy(spark):
     assert np.mean([got[r[0]]["lang_pred"] == r[2] for r in held]) > 0.97
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[902]["lang_pred"] in forms
     kept = {r["doc_id"] for r in language_id.keep_languages(df, model).collect()}
-    assert kept == {r[0] for r in rows} - {900, 901}
+    assert kept == {r[0] for r in rows} - {900, 901, 903, 904}
 
 
 def test_long_text_runs_in_segments():
