@@ -17,7 +17,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter."""
+    """Drops documents without a learned language: null texts, texts without a letter, and what the network takes for none of them."""
     return language_id.keep_languages(docs.select(*COLUMNS), language_id.fit(docs))
 
 
