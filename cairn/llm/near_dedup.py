@@ -313,7 +313,9 @@ def _classes(docs: DataFrame, like: float) -> tuple[DataFrame, DataFrame]:
         texts = texts.groupBy("h1", "h2", "of").agg(F.first("text").alias("text"))
     rows = table.select("doc_id", "of", "h1", "h2", F.pmod(F.xxhash64("of", "h1"), F.lit(SALTS)).alias("salt"))
     part = rows.groupBy("h1", "h2", "salt").agg(F.min("doc_id").alias("first"))
-    node = part.groupBy("h1", "h2").agg(F.min("first").alias("first"))
+    # nodes are numbered in order of their ids, null last: a bucket's hub and a class's root is the text of the least id
+    order = [F.col("first").asc_nulls_last(), F.col("h1"), F.col("h2")]
+    node = part.groupBy("h1", "h2").agg(F.min("first").alias("first")).repartitionByRange(*order).sortWithinPartitions(*order)
     nodes = materialize(node.select("h1", "h2", "first", F.coalesce("first", F.lit(NO_ID)).alias("of"), F.monotonically_increasing_id().alias("node")), "nodes")
     keys = table.join(nodes, ["h1", "h2", "of"]).select("node", F.explode("keys").alias("key"))
     hub = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub <> most").select("key", "hub")
@@ -389,8 +391,7 @@ def _complete(known: DataFrame, nodes: DataFrame, texts: DataFrame, like: float)
 def keep_representatives(docs: DataFrame, *, like: float = LIKE) -> DataFrame:
     """The rows of ``docs``, all columns: of each class one row, of its text with the least doc_id."""
     _, known = _classes(docs, like)
-    # of a class, the text with the least id; of texts that share it, the least node; a class without ids has no least
-    least = _least(known.withColumn("low", F.when(F.col("of").eqNullSafe(F.coalesce("class_id", F.lit(NO_ID))), F.col("node"))), ["root"], "low").where("low = node").select("h1", "h2", F.col("of").alias("_of"))
+    least = known.where("node = root").select("h1", "h2", F.col("of").alias("_of"))
     packed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_of"), F.xxhash64(text_of()).alias("h1"), F.xxhash64(F.lit(7), text_of()).alias("h2"))
     met = packed.join(least, ["h1", "h2", "_of"], "left_semi")
     # what is left are rows equal in id and text: one of them
