@@ -28,7 +28,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of what is now written
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` has written and no later plan reads."""
+    for t in tables:
+        jvm, place = t.sparkSession.sparkContext._jvm, t._written_to
+        path = jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

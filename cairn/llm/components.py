@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize
+from cairn.llm.common import discard, materialize
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -30,11 +30,14 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = materialize(links.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     for _ in range(max_rounds):
-        edges = materialize(_small(_large(edges)), "edges")
+        known, edges = edges, materialize(_small(_large(edges)), "edges")
+        discard(known)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
+    out = edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
+    out._written_to = edges._written_to
+    return out

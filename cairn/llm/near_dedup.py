@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize, release_memory, text_of, words
+from cairn.llm.common import discard, materialize, release_memory, text_of, words
 from cairn.llm.components import components
 
 SHINGLE, SKETCHES, ORDER, LIKE = 5, 30, 4, 0.8
@@ -323,11 +323,16 @@ def _classes(docs: DataFrame, like: float) -> tuple[DataFrame, DataFrame]:
     star = materialize(verify(bucket.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, texts, like), "star")
     root = components(star)
     for step in (lambda known: verify(_second_hub(known, star), nodes, texts, like), lambda known: _complete(known, nodes, texts, like)):
-        found = materialize(step(_open(bucket, root)).distinct(), "links")
+        open_ = _open(bucket, root)
+        found = materialize(step(open_).distinct(), "links")
         if not found.isEmpty():
-            root = components(root.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found))
+            old, root = root, components(root.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found))
+            discard(old)
+        discard(open_, found)
     known = nodes.join(root.withColumnRenamed("id", "node"), "node", "left").select("h1", "h2", "of", "node", F.coalesce("root", "node").alias("root"), F.pmod("node", F.lit(SALTS)).alias("salt"), F.col("first").alias("class_id"))
-    return rows, materialize(_least(known, ["root"], "class_id"), "classes")
+    classes = materialize(_least(known, ["root"], "class_id"), "classes")
+    discard(bucket, star, root, nodes)
+    return rows, classes
 
 
 def near_duplicates(docs: DataFrame, *, like: float = LIKE) -> DataFrame:

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize, release_memory, text_of
+from cairn.llm.common import discard, materialize, release_memory, text_of
 from cairn.llm.suffix_array import low_bytes, permuted_prefixes, suffix_array, words_at
 
 WIDTH, GRAM = 50, 16
@@ -481,6 +481,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     told = shared.repartitionById(count, F.col("bucket")).mapInArrow(_by_text, "sign long, own binary")
     known = materialize(firsts.join(told, "sign", "left"), "anchors")
     state = materialize(rows.join(known, "sign").select("doc_id", "text", "sign", "second", "firsts", "own").mapInArrow(_judge, _STATE_DDL), "state")
+    discard(known)
     open_ = state.where(F.col("text").isNotNull())
     contexts = open_.select("doc_id", "sign", "text", "own").mapInArrow(lambda b: _deal_contexts(b, count), "bucket int, blob binary")
     ranges = contexts.repartitionById(count, F.col("bucket")).mapInArrow(_cover, "sign long, doc_id long, ranges binary").groupBy("sign", "doc_id").agg(F.collect_list("ranges").alias("ranges"))

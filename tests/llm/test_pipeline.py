@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -56,3 +57,23 @@ def test_stages(spark, tables):
 def test_run_equals_the_stages(spark, tables):
     got = corpus_pipeline.run(spark, tables[0])
     assert got.count() >= 35 and {"doc_id", "start", "length", "ids", "sequence_id", "offset"} <= set(got.columns)
+
+
+def test_edge_cases(spark, tables, tmp_path):
+    """Null and repeated ids, equal rows, empty texts, more columns; and an empty table."""
+    folder, rows, _ = tables
+    a, b, c = prose(60), prose(60), prose(60)
+    more = [(None, a), (None, b), (None, b), (900, c), (900, prose(50)), (901, c), (901, c), (902, ""), (903, None), (904, " \n")]
+    docs = spark.createDataFrame([*rows, *[(i, t, "en", None, None) for i, t in more]], SCHEMA)
+    bench = spark.read.parquet(f"{folder}/benchmark.parquet")
+    clash = docs
+    for name in ("key", "node", "sign", "row", "_lines", "part", "root"):
+        clash = clash.withColumn(name, F.lit(1))
+    clash.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "a" / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "a")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.sum(F.when(F.col("start") == 0, 1).otherwise(0)).alias("docs")).collect()
+    found = {r["doc_id"]: r["docs"] for r in got}
+    assert found[None] == 2 and found[900] == 2 and not {901, 902, 903, 904} & set(found)
+    clash.limit(0).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "b" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
