@@ -8,9 +8,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, a local one only where it is unset."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; where it is unset, a local one of a local session."""
     path = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="cairn-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
