@@ -52,3 +52,8 @@ def nested_members(metadata: DataFrame, key: str = "nestedMembers") -> DataFrame
     """(path, offset, size) of the JSON side list of nested archives."""
     found = F.from_json("value", "array<struct<path:string,offset:long,size:long>>")
     return metadata.where(F.col("key") == key).select(F.explode(found).alias("m")).select("m.path", "m.offset", "m.size")
+
+
+def replace_blocks(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Block maps after storing new ones: an archive's map is replaced as a whole."""
+    return stored.join(new.select("archive_id").distinct(), "archive_id", "left_anti").unionByName(new)

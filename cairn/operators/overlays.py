@@ -55,6 +55,21 @@ def rename(overlay: DataFrame, base: DataFrame, moves: DataFrame) -> DataFrame:
     return mark_present(mark_deleted(overlay, base, moved.select(*MEMBER)), made)
 
 
+def truncate(overlay: DataFrame, base: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Overlay after setting files' sizes: ``sizes(path, name, size)``; what is no regular file of the view is refused."""
+    asked = sizes.select(*MEMBER, F.col("size").alias("_size"))
+    rows = apply_overlay(base, overlay).where(values.is_regular("mode")).join(asked, list(MEMBER)).withColumn("size", F.col("_size")).drop("_size")
+    return mark_present(overlay, rows)
+
+
+def make_members(overlay: DataFrame, base: DataFrame, rows: DataFrame) -> DataFrame:
+    """Overlay after making files, directories or links; what the view has already, and what has no directory above it, is refused."""
+    view = apply_overlay(base, overlay)
+    folders = view.where(values.is_directory("mode")).select(paths.join("path", "name").alias("_above")).unionByName(rows.where(values.is_directory("mode")).select(paths.join("path", "name").alias("_above"))).distinct()
+    new = rows.join(view.select(*MEMBER), list(MEMBER), "left_anti")
+    return mark_present(overlay, new.where("path = ''").unionByName(new.where("path <> ''").join(folders, F.col("path") == F.col("_above"), "left_semi")))
+
+
 def commit_plan(base: DataFrame, overlay: DataFrame, *, now: float | None = None, idle: float | None = None) -> DataFrame:
     """(action, path, name): deletions are tombstones and replaced members, appends live files and empty directories.
 

@@ -6,10 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts that a key's rows are cut into, by quantiles of their order, so one huge archive is not one task's.
+PARTS = 64
+
+
+def _cuts(rows: DataFrame, order: str) -> list:
+    """At most PARTS - 1 numbers that cut the rows in parts of about one size."""
+    found = rows.select(F.percentile_approx(order, [i / PARTS for i in range(1, PARTS)], 1000)).first()[0]
+    return sorted(set(found or []))
+
+
+def _part(order: str, cuts: list) -> Column:
+    """Number of the part: how many cuts are at or below the value."""
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+
+
 def segment_offsets(segments: DataFrame, key: str, order: str, size: str) -> DataFrame:
-    """``logical_offset``: where each segment starts in its member, a running sum without itself."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return segments.withColumn("logical_offset", F.coalesce(F.sum(size).over(w), F.lit(0)))
+    """``logical_offset``: where each segment starts in its member, a running sum without itself.
+
+    Sums run within parts of a member; what the parts before hold is added, a row for
+    each part.
+    """
+    rows = segments.withColumn("_part", _part(order, _cuts(segments, order)))
+    w = Window.partitionBy(key, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_of")).agg(F.sum(size).alias("_total"))
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+    own = rows.withColumn("_within", F.coalesce(F.sum(size).over(w), F.lit(0)))
+    met = own.join(totals, own[key].eqNullSafe(totals["_key"]) & (own["_part"] == totals["_of"]))
+    return met.withColumn("logical_offset", F.col("_within") + F.col("_before")).select(*segments.columns, "logical_offset")
 
 
 def overlapping_segments(reads: DataFrame, segments: DataFrame, key: str) -> DataFrame:
@@ -41,13 +66,22 @@ def broken_maps(blocks: DataFrame, key: str = "archive_id") -> DataFrame:
 def block_of(reads: DataFrame, blocks: DataFrame, key: str, offset: str, block: list[str]) -> DataFrame:
     """As-of join: to each read the block with the greatest ``data_offset`` not above its offset.
 
-    Reads and blocks are sorted together by key; the last block seen is carried on.
+    Reads and blocks are sorted together by key, in parts of a key by offset; the last
+    block seen is carried on, into a part from those before it.
     """
-    marks = blocks.select(key, F.col("data_offset").alias("_at"), F.lit(0).alias("_kind"), F.struct(*[F.col(c) for c in block]).alias("_block"))
-    asks = reads.select(key, F.col(offset).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_block"].dataType).alias("_block"), F.struct("*").alias("_read"))
+    cuts = _cuts(blocks, "data_offset")
+    marks = blocks.select(key, F.col("data_offset").alias("_at"), F.lit(0).alias("_kind"), F.struct(*[F.col(c) for c in block]).alias("_block")).withColumn("_part", _part("_at", cuts))
+    asks = reads.select(key, F.col(offset).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_block"].dataType).alias("_block"), F.struct("*").alias("_read")).withColumn("_part", _part("_at", cuts))
     both = marks.withColumn("_read", F.lit(None).cast(asks.schema["_read"].dataType)).unionByName(asks)
-    w = Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_found", F.last("_block", ignorenulls=True).over(w)).where("_kind = 1").select("_read.*", *[F.col(f"_found.{c}").alias(c) for c in block])
+    w = Window.partitionBy(key, "_part").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    # of each part its last block, carried over the parts: a row for each part of a key
+    ends = marks.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_of")).agg(F.max_by("_block", "_at").alias("_last"))
+    parts = ends.select("_key").distinct().withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))))
+    earlier = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.join(ends, ["_key", "_of"], "left").withColumn("_carried", F.last("_last", ignorenulls=True).over(earlier)).select("_key", "_of", "_carried")
+    found = both.withColumn("_own", F.last("_block", ignorenulls=True).over(w)).where("_kind = 1")
+    met = found.join(carried, found[key].eqNullSafe(carried["_key"]) & (found["_part"] == carried["_of"]), "left").withColumn("_found", F.coalesce("_own", "_carried"))
+    return met.select("_read.*", *[F.col(f"_found.{c}").alias(c) for c in block])
 
 
 def windows(size: Column, chunk: int) -> Column:
@@ -83,8 +117,17 @@ def idle_sessions(changes: DataFrame, key: str, ts: str, gap: float) -> DataFram
 
 
 def group_pages(pages: DataFrame) -> DataFrame:
-    """One row per logical stream of ``pages(archive_id, serial, offset, size)``: sum of sizes and its ordered ranges."""
-    return pages.groupBy("archive_id", "serial").agg(F.sum("size").alias("size"), F.min("offset").alias("first_offset"), F.sort_array(F.collect_list(F.struct("offset", "size"))).alias("ranges"))
+    """One row per logical stream of ``pages(archive_id, serial, offset, size)``: sum of sizes, first offset, pages.
+
+    The ranges themselves stay rows: ``stream_ranges``.
+    """
+    return pages.groupBy("archive_id", "serial").agg(F.sum("size").alias("size"), F.min("offset").alias("first_offset"), F.count(F.lit(1)).alias("pages"))
+
+
+def stream_ranges(pages: DataFrame) -> DataFrame:
+    """The pages of each stream with their place in it, ``logical_offset``; a stream of any number of pages."""
+    keyed = pages.withColumn("_stream", F.struct("archive_id", "serial"))
+    return segment_offsets(keyed, "_stream", "offset", "size").drop("_stream")
 
 
 def geometric_mean(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

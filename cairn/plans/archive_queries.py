@@ -21,6 +21,7 @@ from cairn.plans import fixtures as fx
 from cairn.plans.registry import _query
 from cairn.plans.session import shared_dir
 from cairn.sources import archives, writers
+from cairn.streaming import idle
 
 EACH = 40
 _ID = f"'a' || (doc_id // {EACH})"
@@ -129,6 +130,8 @@ _add_blocks("zstd", "zst", lambda d: B.in_blocks(B.zstd, d))
 _add_blocks("zstd_seek_table", "zst", B.seekable_zstd)
 _add_blocks("lzip", "lz", lambda d: B.in_blocks(B.lzip, d))
 _add_blocks("bzip2", "bz2", lambda d: B.in_blocks(B.CODECS["bzip2"][1], d))
+_add_blocks("gzip", "gz", lambda d: B.in_blocks(B.CODECS["gzip"][1], d))
+_add_blocks("lz4", "lz4", lambda d: B.lz4(d, 1000))
 _add_blocks("xz", "xz", lambda d: B.in_blocks(B.CODECS["xz"][1], d))
 
 
@@ -198,6 +201,25 @@ def tar_ignore_zeros(spark, sf_dir):
     return archives.scan(made, ignore_zeros=True).select("archive_id", F.lit("/").alias("prefix"), "name")
 
 
+@_query(f"SELECT {_ID} AS archive_id, doc_id || '.txt' AS name, 3000000 + doc_id AS uid, 2500000::BIGINT AS gid FROM documents")
+def tar_base256(spark, sf_dir):
+    """Numbers too great for octal fields, in base 256."""
+    made = _archives(spark, sf_dir, lambda files: B.tar(files, tarfile.GNU_FORMAT, owner=lambda name: (3000000 + int(name[:-4]), 2500000)))
+    return archives.scan(made).select("archive_id", "name", "uid", "gid")
+
+
+@_query(f"SELECT {_ID} AS archive_id, 'é' || doc_id || '.txt' AS name FROM documents")
+def tar_encoding(spark, sf_dir):
+    """Names in another encoding."""
+    made = _archives(spark, sf_dir, lambda files: B.tar(files, tarfile.USTAR_FORMAT, encoding="latin-1"), name=lambda i: f"é{i}.txt")
+    return archives.scan(made, encoding="latin-1").select("archive_id", "name")
+
+
+@_query(_content_sql())
+def zip_password(spark, sf_dir):
+    return _digest(archives.scan_contents(_archives(spark, sf_dir, lambda files: B.locked_zip(files, b"open")), password="open"))
+
+
 # other containers ----------------------------------------------------------------
 
 
@@ -337,6 +359,36 @@ def nested_index_store(spark, sf_dir):
     return writers.nested_index(rows.where("version % 2 = 0"), rows.where("version % 2 = 1"))
 
 
+@_query("SELECT CASE WHEN k % 2 = 0 THEN '/out' || (k // 2) ELSE '' END AS path, CASE WHEN k % 2 = 0 THEN 'a.tar' ELSE 'out' || (k // 2) END AS name, 'folder' AS backend FROM (SELECT unnest(generate_series(0, 7)) AS k)")
+def folder_source(spark, sf_dir):
+    """A folder as a catalog."""
+    archives.register(spark)
+    return spark.read.format("cairn-folder").load(_folder(spark, sf_dir)).select("path", "name", "backend")
+
+
+@_query("SELECT 'out' || (doc_id % 4) AS archive, doc_id || '.txt' AS name FROM documents")
+def path_source(spark, sf_dir):
+    """Archives opened by path, a partition for each."""
+    archives.register(spark)
+    return spark.read.format("cairn").load(_folder(spark, sf_dir)).select(F.regexp_extract("archive_id", "/(out[0-9])/", 1).alias("archive"), "name")
+
+
+def _folder(spark, sf_dir) -> str:
+    members = _documents(spark, sf_dir).select(F.concat(F.lit("out"), (F.col("doc_id") % 4).cast("string"), F.lit("/a.tar")).alias("archive_id"), F.lit("").alias("path"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.lit(fx.REG).alias("mode"), F.lit(1000.0).alias("mtime"), F.lit(1).alias("uid"), F.lit(2).alias("gid"), F.lit("").alias("linkname"), F.encode("text", "UTF-8").alias("content"))
+    folder = f"{shared_dir(spark)}/cairn-out-{uuid.uuid4().hex}".removeprefix("file://")
+    writers.write_archives(members, folder, "tar")
+    return folder
+
+
+@_query("SELECT 'a' || (user_id % 50) AS archive_id, 1::BIGINT AS map, event_id AS data_offset FROM events WHERE user_id % 50 % 2 = 1 UNION ALL SELECT 'a' || (user_id % 50), 2, event_id + 1 FROM events WHERE user_id % 50 % 2 = 0 AND event_type = 'view'")
+def block_map_replace(spark, sf_dir):
+    """Maps of the archives that have new ones are replaced as a whole."""
+    e = fx.table(spark, sf_dir, "events").select(F.concat(F.lit("a"), (F.col("user_id") % 50).cast("string")).alias("archive_id"), "event_id", "event_type", "user_id")
+    stored = e.select("archive_id", F.lit(1).cast("long").alias("map"), F.col("event_id").alias("data_offset"))
+    new = e.where("user_id % 50 % 2 = 0 and event_type = 'view'").select("archive_id", F.lit(2).cast("long").alias("map"), (F.col("event_id") + 1).alias("data_offset"))
+    return indexes.replace_blocks(stored, new)
+
+
 # catalogs and overlays -------------------------------------------------------------
 
 
@@ -388,6 +440,48 @@ def directories_not_empty(spark, sf_dir):
     return overlays.non_empty_directories(view, asked)
 
 
+@_query(f"""WITH {fx.ORDERS_SQL}, base AS (SELECT path, name, arg_max(size, version_key) AS size, arg_max(mode, version_key) AS mode FROM files GROUP BY path, name)
+SELECT path, name, CASE WHEN name = '2-HIGH' AND (mode & 61440) = 32768 THEN 3 ELSE size END::BIGINT AS size FROM base""")
+def overlay_truncate(spark, sf_dir):
+    base, overlay = _view(spark, sf_dir)
+    return overlays.apply_overlay(base, overlays.truncate(overlay, base, base.where("name = '2-HIGH'").select("path", "name", F.lit(3).cast("long").alias("size")))).select("path", "name", "size")
+
+
+@_query("SELECT '' AS path, r_name AS name FROM region WHERE r_regionkey > 0 UNION ALL SELECT '/' || r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT '', r_name FROM region WHERE r_regionkey = 0")
+def overlay_make_members(spark, sf_dir):
+    """New directories and files; what exists or has no directory above it is refused."""
+    region, nation = fx.table(spark, sf_dir, "region"), fx.table(spark, sf_dir, "nation")
+    base = region.where("r_regionkey = 0").select(F.lit("").alias("path"), F.col("r_name").alias("name"), F.lit(fx.DIR).cast("long").alias("mode"), F.lit(0).cast("long").alias("size"))
+    overlay = base.where("false").withColumn("deleted", F.lit(False))
+    folders = region.select(F.lit("").alias("path"), F.col("r_name").alias("name"), F.lit(fx.DIR).cast("long").alias("mode"), F.lit(0).cast("long").alias("size"))
+    files = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(F.concat(F.lit("/"), "r_name").alias("path"), F.col("n_name").alias("name"), F.lit(fx.REG).cast("long").alias("mode"), F.lit(1).cast("long").alias("size"))
+    lost = nation.select(F.lit("/nowhere").alias("path"), F.col("n_name").alias("name"), F.lit(fx.REG).cast("long").alias("mode"), F.lit(1).cast("long").alias("size"))
+    return overlays.apply_overlay(base, overlays.make_members(overlay, base, folders.unionByName(files).unionByName(lost))).select("path", "name")
+
+
+@_query("""WITH o AS (SELECT '/u/' || user_id AS path, 'f' || event_id AS name, (event_id % 100)::DOUBLE AS mtime FROM events)
+SELECT 'append' AS action, path, name FROM o WHERE mtime <= 90 UNION ALL
+SELECT DISTINCT 'delete', '/u', user_id::VARCHAR FROM events e WHERE NOT EXISTS (SELECT 1 FROM events h WHERE h.user_id = e.user_id AND h.event_id % 100 > 90)""")
+def overlay_commit_idle(spark, sf_dir):
+    """Files that changed a moment ago, and deletions above them, wait."""
+    e = fx.table(spark, sf_dir, "events")
+    live = e.select(F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("path"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("name"), (F.col("event_id") % 100).cast("double").alias("mtime"), F.lit(fx.REG).cast("long").alias("mode"), F.lit(False).alias("deleted"))
+    gone = e.select(F.lit("/u").alias("path"), F.col("user_id").cast("string").alias("name"), F.lit(0.0).alias("mtime"), F.lit(fx.DIR).cast("long").alias("mode"), F.lit(True).alias("deleted")).distinct()
+    return overlays.commit_plan(live.where("false").drop("deleted"), live.unionByName(gone), now=100.0, idle=10.0)
+
+
+@_query("SELECT DISTINCT '/u' AS path, user_id::VARCHAR AS name FROM events WHERE user_id % 2 = 1")
+def hot_parents_kept(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events")
+    deletions = e.select(F.lit("/u").alias("path"), F.col("user_id").cast("string").alias("name")).distinct()
+    return idle.keep_hot_parents(deletions, e.where("user_id % 2 = 0").select(F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("path"), F.lit("f").alias("name")))
+
+
+@_query("SELECT event_id, event_id // 300 AS generation FROM events WHERE event_id // 300 = (SELECT max(event_id // 300) FROM events)")
+def newest_generation(spark, sf_dir):
+    return idle.current_generation(fx.table(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 300).cast("long").alias("generation")))
+
+
 # functions -------------------------------------------------------------------------
 
 

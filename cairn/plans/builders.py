@@ -17,15 +17,17 @@ import zlib
 Pairs = list[tuple[str, bytes]]
 
 
-def tar(files: Pairs, fmt: int = tarfile.PAX_FORMAT, headers=None, kinds=None) -> bytes:
-    """A TAR; ``headers(name, data)`` gives PAX records, ``kinds(name)`` a type flag."""
+def tar(files: Pairs, fmt: int = tarfile.PAX_FORMAT, headers=None, kinds=None, owner=None, encoding: str = "utf-8") -> bytes:
+    """A TAR; ``headers(name, data)`` gives PAX records, ``kinds(name)`` a type flag, ``owner(name)`` user and group."""
     out = io.BytesIO()
-    with tarfile.open(fileobj=out, mode="w", format=fmt) as t:
+    with tarfile.open(fileobj=out, mode="w", format=fmt, encoding=encoding) as t:
         for name, data in files:
             info = tarfile.TarInfo(name)
             info.size, info.mtime = len(data), 1000
             if headers:
                 info.pax_headers = headers(name, data)
+            if owner:
+                info.uid, info.gid = owner(name)
             if kinds and kinds(name):
                 info.type = kinds(name)
             t.addfile(info, io.BytesIO(data))
@@ -51,6 +53,40 @@ def zip_(files: Pairs, method: int = zipfile.ZIP_DEFLATED) -> bytes:
     return out.getvalue()
 
 
+def locked_zip(files: Pairs, password: bytes) -> bytes:
+    """Stored members under the old ZIP cipher."""
+
+    def mix(keys: list[int], byte: int) -> None:
+        crc = lambda c, b: table[(c ^ b) & 255] ^ c >> 8
+        keys[0] = crc(keys[0], byte)
+        keys[1] = ((keys[1] + (keys[0] & 255)) * 134775813 + 1) & 0xFFFFFFFF
+        keys[2] = crc(keys[2], keys[1] >> 24)
+
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+
+    def lock(data: bytes) -> bytes:
+        keys, out = [0x12345678, 0x23456789, 0x34567890], bytearray()
+        for b in password:
+            mix(keys, b)
+        for b in bytes(11) + bytes([zlib.crc32(data) >> 24]) + data:
+            k = keys[2] & 0xFFFF | 2
+            out.append(b ^ (k * (k ^ 1) >> 8 & 255))
+            mix(keys, b)
+        return bytes(out)
+
+    out, rows = b"", b""
+    for name, data in files:
+        raw, n = lock(data), name.encode()
+        head = struct.pack("<HHHHHIIIHH", 20, 1, 0, 0, 33, zlib.crc32(data), len(raw), len(data), len(n), 0)
+        rows += b"PK\1\2" + struct.pack("<H", 20) + head + struct.pack("<HHHII", 0, 0, 0, 0o100644 << 16, len(out)) + n
+        out += b"PK\3\4" + head + n + raw
+    return out + rows + b"PK\5\6" + struct.pack("<HHHHIIH", 0, 0, len(files), len(files), len(rows), len(out), 0)
+
+
 def ar(files: Pairs) -> bytes:
     """GNU: long names in a member of their own."""
     table, out = b"", b""
@@ -252,11 +288,11 @@ def lzip(data: bytes) -> bytes:
     return b"LZIP\1\x10" + body + struct.pack("<IQQ", zlib.crc32(data), len(data), 6 + len(body) + 20)
 
 
-def lz4(data: bytes) -> bytes:
+def lz4(data: bytes, size: int = 60000) -> bytes:
     """A frame of blocks in turn stored and of literals only."""
     out = [b"\x04\x22\x4d\x18\x60\x40\0"]
-    for k, i in enumerate(range(0, len(data), 60000)):
-        part = data[i : i + 60000]
+    for k, i in enumerate(range(0, len(data), size)):
+        part = data[i : i + size]
         if k % 2:
             out.append(struct.pack("<I", len(part) | 1 << 31) + part)
         else:

@@ -481,7 +481,13 @@ def geomean(spark, sf_dir):
 @_query("SELECT user_id::VARCHAR AS archive_id, event_type AS serial, sum(floor(value)::BIGINT)::BIGINT AS size, min(event_id) AS first_offset, count(*) AS pages FROM events GROUP BY ALL")
 def stream_pages(spark, sf_dir):
     e = fx.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("archive_id"), F.col("event_type").alias("serial"), F.col("event_id").alias("offset"), F.floor("value").cast("long").alias("size"))
-    return ranges.group_pages(e).select("archive_id", "serial", "size", "first_offset", F.size("ranges").cast("long").alias("pages"))
+    return ranges.group_pages(e)
+
+
+@_query("SELECT user_id::VARCHAR AS archive_id, event_type AS serial, event_id AS \"offset\", coalesce(sum(floor(value)::BIGINT) OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS logical_offset FROM events")
+def stream_ranges(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("archive_id"), F.col("event_type").alias("serial"), F.col("event_id").alias("offset"), F.floor("value").cast("long").alias("size"))
+    return ranges.stream_ranges(e).drop("size")
 
 
 @_query("SELECT count(*) AS files FROM orders")

@@ -306,4 +306,36 @@ def lzip_blocks(raw: bytes) -> list[tuple[int, int]]:
     return [*out, (len(raw), data)]
 
 
-BLOCK_MAPS = {"xz": (xz_blocks, "byte"), "bzip2": (bzip2_blocks, "bit"), "zstd": (zstd_blocks, "byte"), "lzip": (lzip_blocks, "byte")}
+def gzip_blocks(raw: bytes) -> list[tuple[int, int]]:
+    """One row for each member, as block compressors write them."""
+    at, data, out, view = 0, 0, [], memoryview(raw)
+    while at < len(raw) and raw[at : at + 2] == b"\x1f\x8b":
+        d, place = zlib.decompressobj(31), at
+        out.append((at, data))
+        while not d.eof and place < len(raw):
+            data += len(d.decompress(view[place : place + CHUNK]))
+            place += CHUNK
+        if not d.eof:
+            raise EOFError("gzip member is cut")
+        at = min(place, len(raw)) - len(d.unused_data)
+    return [*out, (len(raw), data)]
+
+
+def lz4_blocks(raw: bytes) -> list[tuple[int, int]]:
+    """One row for each block of frames whose blocks do not need the ones before."""
+    at, data, out = 0, 0, []
+    while raw[at : at + 4] == b"\x04\x22\x4d\x18":
+        flags = raw[at + 4]
+        if not flags & 32:
+            raise ValueError("blocks of this lz4 frame need the ones before")
+        at += 7 + (8 if flags & 8 else 0) + (4 if flags & 1 else 0)
+        while (size := struct.unpack_from("<I", raw, at)[0]) != 0:
+            out.append((at, data))
+            n = size & 0x7FFFFFFF
+            data += n if size >> 31 else len(lz4_block(raw[at + 4 : at + 4 + n]))
+            at += 4 + n + (4 if flags & 16 else 0)
+        at += 4 + (4 if flags & 4 else 0)
+    return [*out, (at, data)]
+
+
+BLOCK_MAPS = {"gzip": (gzip_blocks, "byte"), "lz4": (lz4_blocks, "byte"), "xz": (xz_blocks, "byte"), "bzip2": (bzip2_blocks, "bit"), "zstd": (zstd_blocks, "byte"), "lzip": (lzip_blocks, "byte")}

@@ -65,7 +65,7 @@ def need(f, n: int) -> bytes:
 
 def decode(raw: bytes, label: str = "utf-8") -> str:
     """Text of a name; unknown labels and bad bytes fall back to replacement characters."""
-    names = {"utf8": "utf-8", "latin1": "latin-1", "iso-8859-1": "latin-1", "cp1252": "cp1252", "windows-1252": "cp1252", "cp437": "cp437", "ibm437": "cp437"}
+    names = {"utf8": "utf-8", "latin1": "latin-1", "latin-1": "latin-1", "iso-8859-1": "latin-1", "cp1252": "cp1252", "windows-1252": "cp1252", "cp437": "cp437", "ibm437": "cp437"}
     return raw.decode(names.get(label.lower(), "utf-8"), "replace")
 
 

@@ -160,3 +160,16 @@ def test_newest_is_one_aggregation(spark):
     assert "Window" not in plan and "SortMergeJoin" not in plan
     plan = versions.latest(some(spark).select("path", "name", "version_key", "size"))._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "Sort" not in plan
+
+
+def test_offsets_of_one_huge_archive(spark):
+    """One key with all rows: parts by quantiles give the same sums and blocks."""
+    rows = spark.range(5000).select(F.lit("a").alias("k"), F.col("id").alias("ord"), (F.col("id") % 7 + 1).alias("len"))
+    got = ranges.segment_offsets(rows, "k", "ord", "len").orderBy("ord").collect()
+    at = 0
+    for r in got:
+        assert r["logical_offset"] == at
+        at += r["len"]
+    blocks = spark.range(0, 5000, 13).select(F.lit("a").alias("k"), (F.col("id") + 3).alias("data_offset"), F.col("id").alias("b"))
+    found = {r["ord"]: r["b"] for r in ranges.block_of(rows.select("k", "ord"), blocks, "k", "ord", ["b"]).collect()}
+    assert found == {i: (i - 3) // 13 * 13 if i >= 3 else None for i in range(5000)}
