@@ -393,7 +393,7 @@ def block_map_replace(spark, sf_dir):
 
 
 @_query(f"WITH {fx.ORDERS_SQL} SELECT path, name, max(version_key) AS version_key, arg_max(size, version_key) AS size FROM files GROUP BY path, name")
-def open_cookie(spark, sf_dir):
+def read_cookie(spark, sf_dir):
     files = fx.orders(spark, sf_dir).select("path", "name", "version_key", "size", F.lit("a").alias("archive_id"), F.col("version_key").alias("data_offset"), F.lit(False).alias("is_sparse"))
     return versions.open_cookie(files).select("path", "name", "cookie.version_key", "cookie.size")
 
