@@ -87,6 +87,44 @@ def test_fingerprint_likeness():
     assert fingerprint.common_length("abcbdab", "bdcaba") == 4
 
 
+def plain_fingerprint(raw):
+    """Byte by byte, in Python's numbers."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+    def rolled(i):
+        h = 0
+        for j in range(min(7, i + 1)):
+            h += (raw[i - j] + 1) * 0x01000193**j
+        h &= 0xFFFFFFFF
+        h ^= h >> 15
+        h = h * 0x85EBCA6B & 0xFFFFFFFF
+        return h ^ h >> 13
+
+    hashes = [rolled(i) for i in range(len(raw))]
+
+    def signature(size, most):
+        out, start = "", 0
+        for i, h in enumerate(hashes):
+            if h % size == size - 1 and len(out) < most - 1:
+                out += letters[zlib.crc32(raw[start : i + 1]) % 64]
+                start = i + 1
+        return out + (letters[zlib.crc32(raw[start:]) % 64] if start < len(raw) else "")
+
+    size = 3
+    while size * 64 < len(raw):
+        size *= 2
+    while raw and size > 3 and sum(h % size == size - 1 for h in hashes) < 32:
+        size //= 2
+    return f"{size}:{signature(size, 64)}:{signature(2 * size, 32)}"
+
+
+def test_fingerprint_against_plain_bytes():
+    rng = random.Random(53)
+    for n in (0, 1, 2, 6, 7, 8, 50, 191, 192, 193, 700, 5000):
+        for raw in (bytes(rng.randrange(256) for _ in range(n)), prose(n // 5, rng).encode(), b"a" * n):
+            assert fingerprint.fingerprint(raw) == plain_fingerprint(raw), n
+
+
 def test_fingerprint_query_against_loop(spark):
     rows = [(i, prose(RNG.randint(0, 60))) for i in range(40)] + [(50, None), (51, "äöü€𝄞 " * 9)]
     got = {r["doc_id"]: r for r in fingerprint.neighbour_fingerprints(frame(spark, rows)).collect()}
@@ -395,6 +433,38 @@ def test_decontamination_of_a_part_that_many_documents_hold(spark, edited):
     assert {r["doc_id"] for r in decontaminate.decontaminate(frame(spark, rows), bench).collect()} == {i for i, _ in rows} - want
 
 
+def test_decontamination_against_all_pairs(spark):
+    """Every document is aligned with every item; what is not found has no word 3-gram in common."""
+    rng = random.Random(59)
+    few = VOCABULARY[:40]
+    items = [(k, " ".join(rng.choice(few) for _ in range(rng.randint(2, 25)))) for k in range(20)] + [(50, None), (51, ""), (52, "one"), (53, items_ := "two same words"), (54, items_)]
+    rows = []
+    for i in range(60):
+        w = [rng.choice(few) for _ in range(rng.randint(0, 60))]
+        if i % 2:
+            own = items[rng.randrange(20)][1].split()
+            for _ in range(rng.randint(0, len(own) // 3)):
+                own[rng.randrange(len(own))] = "edited"
+            at = rng.randint(0, len(w))
+            w[at:at] = own
+        rows.append((i, " ".join(w)))
+    rows += [(80, "One"), (81, "has two same, words."), (82, None), (83, ""), (81, "has two same, words.")]
+    got = collections.Counter((r["doc_id"], r["item_id"], round(r["score"] * r["item_words"])) for r in decontaminate.contaminated_pairs(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect())
+    want, apart = collections.Counter(), set()
+    for i, text in rows:
+        for k, item in items:
+            a, b = (item or "").lower().split(), decontaminate.words(text)
+            score = slow_align(a, b) if a and b else 0
+            if a and score >= 0.5 * len(a) and score:
+                n = min(3, len(a))
+                common = {tuple(a[j : j + n]) for j in range(len(a) - n + 1)} & {tuple(b[j : j + n]) for j in range(len(b) - n + 1)}
+                if common:
+                    want[i, k, score] += 1
+                else:
+                    apart.add((i, k))
+    assert got == want and len(want) > 20 and apart
+
+
 # 6 --------------------------------------------------------------------------
 
 
