@@ -343,10 +343,11 @@ def near_duplicates(docs: DataFrame, *, like: float = LIKE) -> DataFrame:
 
 
 def _open(bucket: DataFrame, root: DataFrame) -> DataFrame:
-    """(key, hub, node, root) of the buckets that have several components."""
+    """(key, hub, node, root) of the buckets that have several components; of buckets with the same nodes one stands for all."""
     known = bucket.join(root.withColumnRenamed("id", "node"), "node", "left").select("key", "hub", "node", F.coalesce("root", "node").alias("root"))
-    several = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return materialize(known.join(several, "key"), "open")
+    nodes = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    several = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), *nodes).where("low <> high")
+    return materialize(known.join(several.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key"), "open")
 
 
 def _second_hub(known: DataFrame, star: DataFrame) -> DataFrame:
