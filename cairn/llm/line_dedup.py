@@ -13,7 +13,10 @@ A template in ``min_docs`` documents or more is recurring if at least ``CONSTANT
 its tokens are constants.  A line of ``REPEATED`` or more words that are not variable
 says enough by itself: without generalisation, it is recurring from ``TWO`` documents
 on.  Recurring lines are dropped from all documents but the one with the smallest
-doc_id, so copies of a whole document never lose its content altogether.
+doc_id, so copies of a whole document never lose its content altogether.  Lines that
+fewer than ``min_docs`` documents have stay where they are more than half of the
+document's words: that is a copy of a document, which near-dedup finds as long as it
+is whole, and no passage repeated in another text.
 
 Cases: null text stays null and has no lines; an empty text has one empty line;
 lines with fewer than ``min_tokens`` tokens (with the default: empty ones) are always
@@ -94,16 +97,16 @@ class Known:
         self.leaves, self.constants = frozenset(leaves), frozenset(constants)
         self.lines, self.templates = dict(lines), dict(templates)
 
-    def drops(self, tokens: list[str], doc: int | None, sign: int) -> bool:
-        """Whether the line recurs and the document is not the first one that has it."""
-        whole = whole_line(tokens)
-        first = self.lines.get(whole) if whole is not None else None
-        if first is not None and first != (doc, None):
-            return True
+    def recurs(self, tokens: list[str], doc: int | None, sign: int) -> int:
+        """2 if the line's template recurs, 1 if only the line itself does, 0 if neither or the document is the first one."""
         leaf = leaf_of(tokens)
         found = template_of(tokens, leaf, self.constants) if leaf in self.leaves else None
         first = self.templates.get(found[0]) if found else None
-        return first is not None and first != ((doc, None) if doc is not None else (None, sign))
+        if first is not None and first != ((doc, None) if doc is not None else (None, sign)):
+            return 2
+        whole = whole_line(tokens)
+        first = self.lines.get(whole) if whole is not None else None
+        return int(first is not None and first != (doc, None))
 
 
 def _nodes(tokens: list[str], known: Known) -> list[int]:
@@ -249,11 +252,15 @@ def _apply(batches, shared, min_tokens: int, name: str):
                 texts.append(None)
                 counts.append({"n_lines": 0, "n_dropped": 0})
                 continue
-            lines, kept, of = text.split("\n"), [], known(i)
+            lines, of, kinds, total, few = text.split("\n"), known(i), [], 0, 0
             for line in lines:
                 tokens = mask(line)
-                if not tokens or len(tokens) < min_tokens or not of.drops(tokens, doc, sign):
-                    kept.append(line)
+                kind = of.recurs(tokens, doc, sign) if tokens and len(tokens) >= min_tokens else 0
+                kinds.append(kind)
+                total += len(tokens)
+                few += len(tokens) if kind == 1 else 0
+            least = 2 if 2 * few > total else 1
+            kept = [line for line, kind in zip(lines, kinds, strict=True) if kind < least]
             texts.append(text if len(kept) == len(lines) else "\n".join(kept))
             counts.append({"n_lines": len(lines), "n_dropped": len(lines) - len(kept)})
         columns[at] = pa.array(texts, pa.string())

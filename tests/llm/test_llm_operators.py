@@ -294,15 +294,20 @@ def brute_lines(rows, min_docs):
         for t in [*made, *(("line", t) for t in own)]:
             first[t] = min(first.get(t, i), i)
 
-    def drops(i, line):
-        t = parse(line)
+    def by_template(i, t):
         made = template(t) if t else None
-        return bool(t) and (lines[t] >= 2 and first["line", t] != i or made is not None and found[made] >= min_docs and first[made] != i)
+        return made is not None and found[made] >= min_docs and first[made] != i
+
+    def by_line(i, t):
+        return bool(t) and lines[t] >= 2 and first["line", t] != i
 
     out = {}
     for i, text in rows:
         own = [] if text is None else text.split("\n")
-        kept = [x for x in own if not drops(i, x)]
+        parsed = [parse(x) for x in own]
+        few = sum(len(t) for t in parsed if by_line(i, t) and not by_template(i, t))
+        copy = 2 * few > sum(map(len, parsed))
+        kept = [x for x, t in zip(own, parsed, strict=True) if not (by_template(i, t) or by_line(i, t) and not copy)]
         out[i] = (None if text is None else "\n".join(kept), len(own), len(own) - len(kept))
     return out
 
@@ -324,12 +329,15 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, few):
             lines.append(f"one two three {prose(6, rng)}")
         rows.append((i, "\n".join(lines)))
     rows += [(90, None), (91, ""), (92, "\n\n"), (93, rows[7][1])]
+    rows += [(94, prose(70, rng)), (95, f"{prose(25, rng)}\n{prose(30, rng)}")]
+    rows += [(96, rows[-2][1]), (97, rows[-1][1] + "\nand some more"), (98, f"{rows[-2][1]}\n{prose(90, rng)}")]
     out = line_dedup.dedup_lines(clash(frame(spark, rows)).withColumn("_lines", F.lit(8)).withColumn("_hits", F.lit(9)), min_docs=8)
     assert out.columns[-3:] == ["_lines", "_hits", "__lines"] and {r["_lines"] + r["_hits"] for r in out.collect()} == {17}
     got = {r["doc_id"]: (r["text"], r["__lines"]["n_lines"], r["__lines"]["n_dropped"]) for r in out.collect()}
     assert got == brute_lines(rows, 8)
     assert got[1][2] == 1 and got[5][2] == 2 and got[6][2] == 3  # documents 0 and 1 keep the first ones
     assert "one two three" in got[8][0]  # a leaf, but no template
+    assert (got[96][2], got[97][2], got[98][2]) == (0, 0, 1)  # a copy, a near copy, a passage in another text
 
 
 @pytest.mark.parametrize("few", [0, 10**9])
