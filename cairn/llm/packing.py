@@ -15,7 +15,6 @@ gives no pieces.  Extra columns are ignored.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 
@@ -51,8 +50,7 @@ class WordEncoder:
         # texts with a control string of the tokenizer are encoded as they are
         special = list(self.tok.get_added_tokens_decoder().values())
         self.folded = any(t.normalized for t in special)  # looked for in the normalised text
-        self.special = [t.content for t in special]
-        self.start = os.path.commonprefix(self.special)
+        self.special = "|".join(re.escape(t.content) for t in special)
         vocabulary = self.tok.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
@@ -98,9 +96,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each with ``end``; where each starts, and the end of all)."""
-        if not self.special or self.start and not pc.any(pc.match_substring(texts, self.start, ignore_case=self.folded)).as_py():
-            return self._encode(texts, end)
-        marked = pc.match_substring_regex(texts, "|".join(map(re.escape, self.special)), ignore_case=self.folded).to_numpy(zero_copy_only=False)
+        marked = pc.match_substring_regex(texts, self.special, ignore_case=self.folded).to_numpy(zero_copy_only=False) if self.special else np.zeros(len(texts), dtype=bool)
         if not marked.any():
             return self._encode(texts, end)
         flat, edge = self._encode(pc.if_else(pa.array(marked), "", texts), end)
