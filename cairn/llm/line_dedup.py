@@ -190,10 +190,35 @@ class Tree:
         whole = F.col("key").bitwiseAND(F.lit(1).cast("long")) == 1
         self._add("leaves", nodes.where(~whole), _nodes)
         self._add("lines", nodes.where(whole), _nodes)
+        # the lines of open leaves are written, so that the steps at the leaves do not read whole texts
+        lines = materialize(self._open_lines(*self.rows(slim)), "lines")
         for name, step in (("constants", _constants), ("templates", _templates)):
-            rows, shared = self.rows(slim)
+            rows, shared = self.rows(lines)
             self._add(name, materialize(_count(_emit(rows, step, shared, min_tokens)).where(F.col("docs") >= min_docs), name), step)
 
+    def _open_lines(self, rows: DataFrame, shared) -> DataFrame:
+        """The documents with their distinct lines of open leaves only, as masked tokens."""
+        min_tokens = self.min_tokens
+
+        def run(batches):
+            release_memory()
+            tree = shared.value if shared is not None else None
+            for batch in batches:
+                known = _known(batch, tree)
+                keep, texts = [], []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    if text is None:
+                        continue
+                    leaves = known(i).leaves
+                    own = [" ".join(t) for t in map(mask, set(text.split("\n"))) if t and len(t) >= min_tokens and leaf_of(t) in leaves]
+                    if own:
+                        keep.append(i)
+                        texts.append("\n".join(own))
+                at = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(texts, pa.string()), batch.column(2).take(at)], names=["doc_id", "text", "sign"])
+
+        return rows.mapInArrow(run, "doc_id long, text string, sign long")
+
     def _add(self, name: str, keys: DataFrame, step) -> None:
         self.parts[name], self.steps[name] = keys, step
 
@@ -203,7 +228,7 @@ class Tree:
         if sum(p.count() for p in parts.values()) <= BROADCAST_KEYS:
             got = {n: [(r["key"], (r["first_doc"], r["first_sign"])) for r in p.collect()] for n, p in parts.items()}
             return docs, docs.sparkSession.sparkContext.broadcast(Known(**{n: x if n in _PARTS[2:] else [k for k, _ in x] for n, x in got.items()}))
-        out, base = self.docs, {}
+        out, base = docs, {}
         for name in ("leaves", "lines", "constants", "templates"):
             if name not in parts:
                 continue
