@@ -170,7 +170,7 @@ def asar(files: Pairs) -> bytes:
 def sqlar(files: Pairs) -> bytes:
     db = sqlite3.connect(":memory:")
     db.execute("CREATE TABLE sqlar(name TEXT PRIMARY KEY, mode INT, mtime INT, sz INT, data BLOB)")
-    db.executemany("INSERT INTO sqlar VALUES (?,?,?,?,?)", [(n, 0o100644, 2, len(d), min(zlib.compress(d), d, key=len)) for n, d in files])
+    db.executemany("INSERT INTO sqlar VALUES (?,?,?,?,?)", [(n, 0o100644, 2, len(d), min(d, zlib.compress(d), key=len)) for n, d in files])
     db.commit()
     return db.serialize()
 
