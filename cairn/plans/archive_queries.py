@@ -1,7 +1,8 @@
 """Registered queries over archives that are made of the driver's tables, with their SQL twins.
 
 Forty documents make an archive; archives are a column of bytes, as ``binaryFile``
-reads them, so nothing is written to disk unless a query is about files.
+reads them, or are packed by the pass that reads them, so nothing is written to disk
+unless a query is about files.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ import tarfile
 import uuid
 import zipfile
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,16 +32,25 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _listed(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """(archive_id, content): the documents of each archive, not yet packed."""
+    return _documents(spark, sf_dir).where(where).groupBy(F.concat(F.lit("a"), F.floor(F.col("doc_id") / EACH).cast("string")).alias("archive_id")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("content"))
+
+
+def _packer(build, name=lambda i: f"{i}.txt"):
+    """The bytes of an archive of listed documents: ``build([(name, bytes)])``."""
+    return lambda files: build([(name(x["doc_id"].as_py()), x["text"].as_py().encode()) for x in files])
+
+
 def _archives(spark: SparkSession, sf_dir: str, build, name=lambda i: f"{i}.txt", where: str = "true") -> DataFrame:
-    """(archive_id, content): ``build([(name, bytes)])`` of the documents of each archive."""
-    rows = _documents(spark, sf_dir).where(where).groupBy(F.concat(F.lit("a"), F.floor(F.col("doc_id") / EACH).cast("string")).alias("archive_id")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("files"))
+    """(archive_id, content): the bytes of each archive."""
+    pack = _packer(build, name)
 
     def run(batches):
-        for batch in batches:
-            made = [build([(name(x["doc_id"]), x["text"].encode()) for x in files]) for files in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["archive_id", "content"])
+        made = ((a, pack(files)) for batch in batches for a, files in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        return archives.in_batches(made, archives.FILE)
 
-    return rows.mapInArrow(run, "archive_id string, content binary")
+    return _listed(spark, sf_dir, where).mapInArrow(run, "archive_id string, content binary")
 
 
 def _files(spark: SparkSession, sf_dir: str, suffix: str, build, where: str = "true") -> DataFrame:
@@ -49,8 +58,8 @@ def _files(spark: SparkSession, sf_dir: str, suffix: str, build, where: str = "t
     rows = _documents(spark, sf_dir).where(where).select(F.concat(F.col("doc_id").cast("string"), F.lit(f".txt.{suffix}")).alias("archive_id"), "text")
 
     def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([build(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], names=["archive_id", "content"])
+        made = ((a, build(t.as_py().encode())) for batch in batches for a, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        return archives.in_batches(made, archives.FILE)
 
     return rows.mapInArrow(run, "archive_id string, content binary")
 
@@ -89,7 +98,8 @@ _FORMATS = {
 
 def _add_format(name: str, build, made: dict, sql: dict) -> None:
     def query(spark, sf_dir):
-        return _digest(archives.scan_contents(_archives(spark, sf_dir, build, **made)))
+        more = dict(made)
+        return _digest(archives.scan_contents(_listed(spark, sf_dir, more.pop("where", "true")), load=_packer(build, **more)))
 
     query.__name__ = f"format_{name}"
     _query(_content_sql(**sql))(query)

@@ -105,15 +105,25 @@ def _arrow(spec) -> pa.Schema:
     return to_arrow_schema(spec)
 
 
-def _batches(rows: Iterator[tuple], spec, size: int = 4096) -> Iterator[pa.RecordBatch]:
-    arrow, hold = _arrow(spec), []
+#: Bytes of text and binary values after which a batch of rows goes to Spark.
+BATCH_BYTES = 8 << 20
+
+
+def in_batches(rows: Iterator[tuple], spec, size: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of at most ``size`` rows; one ends with the row that brings its values to ``BATCH_BYTES``."""
+    arrow, hold, held = _arrow(spec), [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*hold, strict=True), arrow, strict=True)], schema=arrow)
+
     for r in rows:
         hold.append(r)
-        if len(hold) >= size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*hold, strict=True), arrow, strict=True)], schema=arrow)
-            hold = []
+        held += sum(len(x) for x in r if isinstance(x, bytes | str))
+        if len(hold) >= size or held >= BATCH_BYTES:
+            yield batch()
+            hold, held = [], 0
     if hold:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*hold, strict=True), arrow, strict=True)], schema=arrow)
+        yield batch()
 
 
 def binary(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -121,26 +131,31 @@ def binary(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("archive_id"), "content")
 
 
-def _each(files: DataFrame, make, spec) -> DataFrame:
-    """Rows of ``make(archive_id, file)`` for each file; a broken one gives what comes before the damage, ``scan_damage`` tells of it."""
+def _each(files: DataFrame, make, spec, load=None) -> DataFrame:
+    """Rows of ``make(archive_id, file)`` for each file; a broken one gives what comes before the damage, ``scan_damage`` tells of it.
+
+    ``load(cell)``: the bytes of a file whose content is an Arrow value of another kind.
+    """
 
     def run(batches):
         def rows():
             for batch in batches:
                 for i in range(batch.num_rows):
+                    cell = batch.column(1)[i]
+                    raw = load(cell) if load else cell.as_py()
                     try:
-                        yield from make(batch.column(0)[i].as_py(), io.BytesIO(batch.column(1)[i].as_py() or b""))
+                        yield from make(batch.column(0)[i].as_py(), io.BytesIO(raw or b""))
                     except DAMAGE:
                         continue
 
-        return _batches(rows(), spec)
+        return in_batches(rows(), spec)
 
     return files.select("archive_id", "content").mapInArrow(run, spec)
 
 
-def scan(files: DataFrame, **options) -> DataFrame:
-    """The members of archives ``files(archive_id, content)``."""
-    return _each(files, lambda a, f: (row(a, e, b) for e, b in entries(f, a, **options)), S.FILES)
+def scan(files: DataFrame, load=None, **options) -> DataFrame:
+    """The members of archives ``files(archive_id, content)``; ``load`` makes the bytes of other content in the same pass."""
+    return _each(files, lambda a, f: (row(a, e, b) for e, b in entries(f, a, **options)), S.FILES, load)
 
 
 def scan_damage(files: DataFrame, **options) -> DataFrame:
@@ -223,6 +238,7 @@ def member_bytes(body, e: Entry, backend: str, source: dict | None = None, passw
     return body.read(e.size)
 
 
+FILE = S._t("archive_id string, content binary")
 CONTENT = S._t("archive_id string, path string, name string, version_key long, content binary")
 
 
@@ -247,15 +263,15 @@ def _contents(f, a: str, options: dict, stored: bool = False) -> Iterator[tuple[
         yield e, raw
 
 
-def scan_contents(files: DataFrame, **options) -> DataFrame:
-    """Bytes of the regular members: holes of sparse ones are zeros."""
+def scan_contents(files: DataFrame, load=None, **options) -> DataFrame:
+    """Bytes of the regular members: holes of sparse ones are zeros; ``load`` as in ``scan``."""
 
     def make(a, f):
         for e, raw in _contents(f, a, options):
             path, name = split(clean(e.name))
             yield (a, path, name, e.header, raw)
 
-    return _each(files, make, CONTENT)
+    return _each(files, make, CONTENT, load)
 
 
 #: Digests by name; fixed values.
@@ -308,7 +324,7 @@ def open_nested(contents: DataFrame):
                         except DAMAGE:
                             continue  # it only looks like an archive
 
-            return _batches(rows(), spec)
+            return in_batches(rows(), spec)
 
         return own.select("_owner", "content", "archive_id").mapInArrow(make, spec)
 

@@ -313,3 +313,27 @@ def test_bzip2_blocks_at_any_bit():
     blocks = codecs.bzip2_blocks(raw)
     assert blocks[0] == (32, 0) and blocks[-1][1] == len(data) + 4 and len(blocks) >= 5 and any(b % 8 for b, _ in blocks)
     assert codecs.xz_blocks(lzma.compress(data) + bytes(4) + lzma.compress(b"tail"))[-1][1] == len(data) + 4
+
+
+def test_batches_end_by_bytes():
+    """Large files do not meet in one batch, however few rows they are."""
+    rows = [(str(i), bytes(3 << 20)) for i in range(7)] + [(str(i), b"") for i in range(7, 10)]
+    got = list(archives.in_batches(iter(rows), archives.FILE))
+    assert [b.num_rows for b in got] == [3, 3, 4]
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == rows
+
+
+def test_files_are_packed_by_the_pass_that_reads_them(spark):
+    """One pass of Python workers, so images much larger than their files do not cross to the JVM and back."""
+    from cairn.plans import builders as B
+
+    listed = spark.createDataFrame([("a", ["x", ""]), ("b", None)], "archive_id string, content array<string>")
+    load = lambda cell: B.fat([(f"{i}.TXT", t.encode()) for i, t in enumerate(cell.as_py() or [])])
+    got = archives.scan_contents(listed, load=load)
+    assert sorted((r["archive_id"], r["name"], bytes(r["content"])) for r in got.collect()) == [("a", "0.TXT", b"x"), ("a", "1.TXT", b"")]
+    from cairn.plans import registry
+
+    if os.path.isdir("/root/testdata/sf0.001"):
+        for name, passes in (("format_fat", 1),):
+            plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("MapInArrow") == passes
