@@ -321,7 +321,7 @@ def _written(spark, sf_dir, kind: str) -> DataFrame:
     members = _documents(spark, sf_dir).select(F.concat((F.col("doc_id") % 4).cast("string"), F.lit(f"/out.{kind}")).alias("archive_id"), F.lit("/d").alias("path"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.lit(fx.REG).alias("mode"), F.lit(1000.0).alias("mtime"), F.lit(1).alias("uid"), F.lit(2).alias("gid"), F.lit("").alias("linkname"), F.encode("text", "UTF-8").alias("content"))
     folder = f"{shared_dir(spark)}/cairn-out-{uuid.uuid4().hex}"
     writers.write_archives(members, folder.removeprefix("file://"), kind)
-    return _digest(archives.scan_contents(archives.binary(spark, folder))).withColumn("archive_id", F.regexp_extract("archive_id", r"/([^/]+/[^/]+)$", 1))
+    return _digest(archives.read_contents(spark, folder)).withColumn("archive_id", F.regexp_extract("archive_id", r"/([^/]+/[^/]+)$", 1))
 
 
 _WRITTEN_SQL = "SELECT doc_id % 4 || '/out.{}' AS archive_id, '/d' AS path, doc_id || '.txt' AS name, octet_length(encode(coalesce(text, '')))::BIGINT AS size, sha256(coalesce(text, '')) AS sha256 FROM documents"

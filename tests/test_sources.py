@@ -337,3 +337,20 @@ def test_files_are_packed_by_the_pass_that_reads_them(spark):
         for name, passes in (("format_fat", 1),):
             plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
             assert plan.count("MapInArrow") == passes
+
+
+def test_contents_by_path(spark, tmp_path):
+    """The same rows as from cells, and no archive in a cell of the plan of ``write_tar``."""
+    from cairn.plans import builders as B
+
+    for name, raw in {"a/o.tar": B.tar([("d/x", b"1"), ("y", b"22")]), "b/o.zip": B.zip_([("x", b"3")]), "cut.tar": B.tar([("x", b"4"), ("y", bytes(2000))])[:2000], "bad.zip": b"PK\3\4"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    rows = lambda df: sorted((r["archive_id"].removeprefix("file:"), r["path"], r["name"], r["version_key"], bytes(r["content"])) for r in df.collect())
+    got = rows(archives.read_contents(spark, f"file://{tmp_path}"))
+    assert got == rows(archives.scan_contents(archives.binary(spark, str(tmp_path)))) and len(got) == 5
+    from cairn.plans import registry
+
+    if os.path.isdir("/root/testdata/sf0.001"):
+        plan = registry.queries()["write_tar"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "binaryFile" not in plan and "MapInArrow" not in plan
