@@ -334,7 +334,7 @@ def test_files_are_packed_by_the_pass_that_reads_them(spark):
     from cairn.plans import registry
 
     if os.path.isdir("/root/testdata/sf0.001"):
-        for name, passes in (("format_fat", 1),):
+        for name, passes in (("format_fat", 1), ("format_detection", 15)):
             plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
             assert plan.count("MapInArrow") == passes
 
